@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of documents, of edited copies and of next documents."""
+    from .syncmers import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directly addressable token files of documents, written and read back."""
     import public_tokenizers
@@ -20,8 +27,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_write_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded by the merge automaton."""
+    import public_tokenizers
+
+    from .bpe_automaton import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files,)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op3_token_files, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 A byte-level or word-end BPE file first cuts a text into pieces by a pattern and then merges inside
 each piece, so a piece's ids don't depend on its neighbours. Pieces repeat heavily; each worker keeps
-a bounded table piece -> packed ids and asks the library only for pieces it doesn't hold. Texts that
+bounded table piece -> packed ids and asks the library only for pieces that it doesn't hold. Texts that
 hold an added token's string, or files whose pattern isn't one of the two below, go to the library whole.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -102,24 +103,22 @@ class PieceEncoder:
         else:
             ids = np.asarray(self.library.encode("\n".join(pieces) + "\n", add_special_tokens=False).ids, "<u4")
             stop = np.flatnonzero(ids == self.newline[0])
-            start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
+            start = np.concatenate([[0], stop[:-1] + 1])
         if len(stop) != len(pieces):
             return [self._whole(p) for p in pieces]
         packed = ids.tobytes()
         return [packed[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Puts pieces into the table."""
-        known, older = self.known, self.older
-        new = []
+        known, older, new = self.known, self.older, []
         for p in pieces:
-            if (ids := older.get(p)) is None:
-                new.append(p)
-            else:
+            if (ids := older.get(p)) is not None:
                 known[p] = ids
-        blank = [p for p in new if p.isspace()]
-        new = [p for p in new if not p.isspace()] if blank else new
-        known.update((p, self._whole(p)) for p in blank)
+            elif p.isspace():
+                known[p] = self._whole(p)
+            else:
+                new.append(p)
         for i in range(0, len(new), JOINED):
             part = new[i : i + JOINED]
             known.update(zip(part, self._joined(part), strict=True))
@@ -127,14 +126,22 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return [self._whole(t) for t in texts]
-        plain = [not any(a in t for a in self.added) for t in texts]
-        cut = [self.split(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
         if len(self.known) > TABLE_ENTRIES:
             self.known, self.older = {}, self.known
-        known = self.known
-        self.learn([p for p in set().union(*cut) if p not in known])
-        get = known.__getitem__
-        return [b"".join(map(get, c)) if ok else self._whole(t) for t, c, ok in zip(texts, cut, plain, strict=True)]
+        plain = [not any(a in t for a in self.added) for t in texts]
+        cut = [self.split(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        flat = list(chain.from_iterable(cut))
+        ids = list(map(self.known.get, flat))
+        if None in ids:
+            holes = [i for i, x in enumerate(ids) if x is None]
+            self.learn({flat[i] for i in holes})
+            for i in holes:
+                ids[i] = self.known[flat[i]]
+        out, at = [], 0
+        for t, c, ok in zip(texts, cut, plain, strict=True):
+            out.append(b"".join(ids[at : at + len(c)]) if ok else self._whole(t))
+            at += len(c)
+        return out
 
 
 @lru_cache(maxsize=2)
