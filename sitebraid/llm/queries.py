@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,23 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_write_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 1024 tokens."""
+    import public_tokenizers
+
+    from .packing import cut, pack
+
+    return pack(cut(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of documents and their components at two bits."""
+    from .simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded by the merge automaton."""
     import public_tokenizers
@@ -37,7 +55,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op3_token_files, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op3_token_files, op4_bin_completion, op7_simhash_golay, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
