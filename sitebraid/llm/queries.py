@@ -19,6 +19,13 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents, learned by weak supervision."""
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directly addressable token files of documents, written and read back."""
     import public_tokenizers
@@ -55,7 +62,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op3_token_files, op4_bin_completion, op7_simhash_golay, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op7_simhash_golay, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
