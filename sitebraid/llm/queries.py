@@ -44,6 +44,13 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every fiftieth embedding by balanced posting lists."""
+    from .posting_lists import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of documents and their components at two bits."""
     from .simhash import near_duplicates
@@ -69,7 +76,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op7_simhash_golay, op9_host_paths, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op6_posting_lists, op7_simhash_golay, op9_host_paths, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
