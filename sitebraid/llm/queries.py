@@ -44,6 +44,17 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention-model scores of documents."""
+    import public_tokenizers
+
+    from .attention_lm import lm_scores
+    from .toxicity import crc_remainder
+
+    scored = lm_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), crc_remainder(7) != 2)
+    return scored.select("doc_id", F.coalesce(crc_remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours of every fiftieth embedding by balanced posting lists."""
     from .posting_lists import search
@@ -76,7 +87,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op6_posting_lists, op7_simhash_golay, op9_host_paths, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op5_attention_lm, op6_posting_lists, op7_simhash_golay, op9_host_paths, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
