@@ -70,6 +70,13 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents; native expressions only."""
+    from .pii import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of pages by their hosts' consensus paths."""
     from .html_text import main_text
@@ -87,7 +94,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op5_attention_lm, op6_posting_lists, op7_simhash_golay, op9_host_paths, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op5_attention_lm, op6_posting_lists, op7_simhash_golay, op8_boosted_pii, op9_host_paths, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
