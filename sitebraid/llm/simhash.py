@@ -173,3 +173,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     hot = marked.where("often").select("doc_id", "fp", F.col("often_id").alias("component_id"))
     rest = marked.where("often is null").select("doc_id", "fp").join(known.select("fp", "component_id"), "fp")
     return hot.unionByName(rest)
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that are the smallest doc_id of their component; of repeated ones a single row.
+
+    Rows without an id can't be told apart and stay.
+    """
+    found = near_duplicates(docs, shingle)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    rows = docs.join(kept.distinct(), "doc_id", "left_semi")
+    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns) if "text_hash" not in docs.columns else rows.dropDuplicates()
+    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -278,16 +278,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row's whole text (null: empty); no shuffle."""
 
     def run(part: pa.RecordBatch) -> dict:
-        scores = []
-        for text in column(part, "text").to_pylist():
-            votes, terms = votes_and_terms(text, model)
-            odds = model.offset + float(np.dot(model.weights[: len(VOTERS)], votes)) + float(sum(model.weights[len(VOTERS) + t] for t in sorted(terms)))
-            scores.append(1 / (1 + math.exp(-min(30, max(-30, odds)))))
-        return {"doc_id": column(part, "doc_id"), "score": scores}
+        return {"doc_id": column(part, "doc_id"), "score": [_score_text(t, model) for t in column(part, "text").to_pylist()]}
 
     return map_slices(id_and_text(docs), run, "doc_id long, score double")
 
 
+def _score_text(text: str, model: Model) -> float:
+    votes, terms = votes_and_terms(text, model)
+    odds = model.offset + float(np.dot(model.weights[: len(VOTERS)], votes)) + float(sum(model.weights[len(VOTERS) + t] for t in sorted(terms)))
+    return 1 / (1 + math.exp(-min(30, max(-30, odds))))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores below threshold; null texts count as empty. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text=text_col):
+            yield part.filter(pa.array([_score_text(t or "", model) < threshold for t in column(part, text_col).to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_remainder(divisor: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text modulo divisor; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(divisor))
