@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from . import site, spatial
 
-def queries():
-    return {}
+MODULES = (spatial, site)
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' points in the projected system."""
+    return spatial.crs_to_utm32(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
