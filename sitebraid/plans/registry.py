@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import site, spatial
+from . import regions, site, spatial
 
-MODULES = (spatial, site)
+MODULES = (spatial, site, regions)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
