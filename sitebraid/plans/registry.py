@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import regions, site, spatial
+from . import masses, regions, site, spatial
 
-MODULES = (spatial, site, regions)
+MODULES = (spatial, site, regions, masses)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
