@@ -41,19 +41,21 @@ _CAPITALS = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' XXH64; 0 for a text without words."""
+def _hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of the shingles of a text, repeats included; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").translate(_CAPITALS).split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)][: len(words)], "u8")
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     hashing = xxhash.xxh64_intdigest
-    hashes = np.array([hashing(line[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], ">u8")
-    octets = hashes.view("u1").reshape(-1, 8)
+    return np.array([hashing(line[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; 0 for none."""
+    octets = hashes.astype(">u8").view("u1").reshape(-1, 8)
     if len(hashes) < 400:
         counts = np.unpackbits(octets, axis=1).sum(axis=0, dtype="i8")
     else:
@@ -61,6 +63,23 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the shingles' XXH64; 0 for a text without words."""
+    return _majority(_hashes(text, shingle))
+
+
+def several(text: str, shingle: int, views: int) -> list[int]:
+    """The fingerprint, then those of the shingles' hashes mixed anew for each further view."""
+    hashes = _hashes(text, shingle)
+    out = [_majority(hashes)]
+    for view in range(1, views):
+        mixed = hashes + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out.append(_majority(mixed ^ (mixed >> np.uint64(32))))
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long) of every row; null texts have no words. No shuffle."""
 
@@ -105,54 +124,56 @@ def _segments(values: np.ndarray) -> list[np.ndarray]:
     return [((bits >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype("i8") for at, size in SEGMENTS]
 
 
-def file_keys(values: np.ndarray) -> np.ndarray:
-    """The three keys that fingerprints are filed under, a row each: which pair, equal segment, codeword index."""
+def file_keys(values: np.ndarray, view: np.ndarray | int = 0) -> np.ndarray:
+    """The three keys that fingerprints are filed under, a row each: view and pair of segments, equal segment, codeword index."""
     parts = _segments(values)
-    return np.stack([i << 40 | parts[i] << 12 | codeword(parts[(i + 1) % 3]) for i in range(3)], axis=1)
+    return np.stack([(3 * view + i) << 40 | parts[i] << 12 | codeword(parts[(i + 1) % 3]) for i in range(3)], axis=1)
 
 
-def look_keys(values: np.ndarray) -> list[np.ndarray]:
+def look_keys(values: np.ndarray, view: np.ndarray | int = 0) -> list[np.ndarray]:
     """The keys that each fingerprint is looked up under."""
     parts = _segments(values)
     found = []
     for i in range(3):
         after, size = parts[(i + 1) % 3], SEGMENTS[(i + 1) % 3][1]
         near = np.concatenate([after[:, None], after[:, None] ^ (1 << np.arange(size, dtype="i8"))[None, :]], axis=1)
-        found.append((i << 40 | parts[i] << 12)[:, None] | codeword(near))
+        found.append(((3 * view + i) << 40 | parts[i] << 12)[:, None] | codeword(near))
     return [np.unique(row) for row in np.concatenate(found, axis=1)]
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """u, v: links that hold together all fingerprints of nodes (fp, distinct) at most RADIUS bits apart.
+    """view, u, v: links that hold together all fingerprints of nodes (fp, and view where there are several) at most RADIUS bits apart.
 
-    Within a crowded key every fingerprint is linked to the smallest that shares a word one bit away,
-    elsewhere to each near one.
+    nodes are distinct. Within a crowded key every fingerprint is linked to the smallest that shares a word
+    one bit away, elsewhere to each near one. Fingerprints of different views are never linked.
     """
+    nodes = nodes.select("view", "fp") if "view" in nodes.columns else nodes.select(F.lit(0).cast("long").alias("view"), "fp")
 
     def filed(batches):
         for b in batches:
-            keys = file_keys(column(b, "fp").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(column(b, "fp").to_numpy(), 3))], ["key", "fp"])
+            values, views = column(b, "fp").to_numpy(), column(b, "view").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(file_keys(values, views).ravel()), pa.array(np.repeat(views, 3)), pa.array(np.repeat(values, 3))], ["key", "view", "fp"])
 
     def looked(batches):
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
-                values = column(b, "fp").to_numpy()[at : at + 20_000]
-                keys = look_keys(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(values, [len(k) for k in keys]))], ["key", "fp"])
+                values, views = column(b, "fp").to_numpy()[at : at + 20_000], column(b, "view").to_numpy()[at : at + 20_000]
+                keys = look_keys(values, views)
+                sizes = [len(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(views, sizes)), pa.array(np.repeat(values, sizes))], ["key", "view", "fp"])
 
-    files = nodes.select("fp").mapInArrow(filed, "key long, fp long")
-    looks = nodes.select("fp").mapInArrow(looked, "key long, fp long")
+    files = nodes.mapInArrow(filed, "key long, view long, fp long")
+    looks = nodes.mapInArrow(looked, "key long, view long, fp long")
     sizes = files.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first"), F.max("fp").alias("final"))
     hits = write_table(looks.join(sizes, "key").where((F.col("n") > 1) | (F.col("first") != F.col("fp"))), "hits")
-    few = hits.where(F.col("n") <= 2).select("fp", F.explode(F.array_distinct(F.array("first", "final"))).alias("other"))
-    some = hits.where((F.col("n") > 2) & (F.col("n") <= CROWD)).select("key", "fp").join(files.withColumnRenamed("fp", "other"), "key").select("fp", "other")
+    few = hits.where(F.col("n") <= 2).select("view", "fp", F.explode(F.array_distinct(F.array("first", "final"))).alias("other"))
+    some = hits.where((F.col("n") > 2) & (F.col("n") <= CROWD)).select("key", "view", "fp").join(files.select("key", F.col("fp").alias("other")), "key").select("view", "fp", "other")
     near = few.unionByName(some).where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
-    crowd = hits.where(F.col("n") > CROWD).select("fp").distinct()
-    words = crowd.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(int(np.uint64(1 << b).view("i8")))) for b in range(64)))).alias("word"))
-    hubs = words.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    through = words.join(hubs, "word").select("fp", F.col("hub").alias("other"))
-    return near.unionByName(through).select(F.col("fp").alias("u"), F.col("other").alias("v")).where(F.col("u") != F.col("v")).distinct()
+    crowd = hits.where(F.col("n") > CROWD).select("view", "fp").distinct()
+    words = crowd.select("view", "fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(int(np.uint64(1 << b).view("i8")))) for b in range(64)))).alias("word"))
+    hubs = words.groupBy("view", "word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
+    through = words.join(hubs, ["view", "word"]).select("view", "fp", F.col("hub").alias("other"))
+    return near.unionByName(through).select("view", F.col("fp").alias("u"), F.col("other").alias("v")).where(F.col("u") != F.col("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,12 +196,46 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     return hot.unionByName(rest)
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+#: Shingles and views of the pipeline's stage: two words, as many fingerprints as find most copies at RADIUS.
+COPY_SHINGLE, COPY_VIEWS = 2, 16
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_VIEWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row: linked where any of several fingerprints differs in at most RADIUS bits.
+
+    One fingerprint sees a near copy only if few of its 64 bits turn; each further one (the same shingles,
+    hashed anew) is another chance, while unrelated texts differ in 17 bits and more in all of them.
+    """
+
+    def run(part: pa.RecordBatch) -> dict:
+        values = [np.array(several(t, shingle, views), "u8").view("i8").tolist() for t in column(part, "text").to_pylist()]
+        return {"doc_id": column(part, "doc_id"), "fps": values}
+
+    rows = write_table(map_slices(id_and_text(docs, id_col, text_col), run, "doc_id long, fps array<long>"), "views")
+    # texts with all fingerprints equal are one node, told by its smallest id
+    classes = write_table(rows.groupBy("fps").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    seen = classes.where(F.col("first").isNotNull()).select("first", F.posexplode("fps").alias("view", "fp")).select("first", F.col("view").cast("long").alias("view"), "fp")
+    nodes = write_table(seen.groupBy("view", "fp").agg(F.min("first").alias("least")), "nodes")
+    equal = seen.join(nodes, ["view", "fp"]).where(F.col("first") != F.col("least")).select(F.col("first").alias("u"), F.col("least").alias("v"))
+    found = write_table(links(nodes), "links")
+    left = found.join(nodes.select("view", F.col("fp").alias("u"), F.col("least").alias("a")), ["view", "u"])
+    near = left.join(nodes.select("view", F.col("fp").alias("v"), F.col("least").alias("b")), ["view", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = connected(equal.unionByName(near).where(F.col("u") != F.col("v")).distinct())
+    known = write_table(classes.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("fps", "n", F.coalesce("root", "first").alias("component_id")), "components")
+    total = rows.count()
+    often = F.broadcast(known.where(F.col("n") > max(1000, int(total * SHARE))).select("fps", F.col("component_id").alias("often_id"), F.lit(True).alias("often")))  # at most 1 / SHARE rows
+    marked = rows.join(often, "fps", "left")
+    hot = marked.where("often").select("doc_id", F.col("often_id").alias("component_id"))
+    rest = marked.where("often is null").select("doc_id", "fps").join(known.select("fps", "component_id"), "fps").select("doc_id", "component_id")
+    return hot.unionByName(rest)
+
+
+def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_VIEWS) -> DataFrame:
     """The rows of docs, all columns, that are the smallest doc_id of their component; of repeated ones a single row.
 
     Rows without an id can't be told apart and stay.
     """
-    found = near_duplicates(docs, shingle)
+    found = write_table(near_copies(docs, shingle, views), "copies")
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     rows = docs.join(kept.distinct(), "doc_id", "left_semi")
     if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():

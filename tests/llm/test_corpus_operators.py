@@ -322,7 +322,7 @@ def brute_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(values, radius=2):
+def brute_components(values, radius=2, near=None):
     parent = list(range(len(values)))
 
     def root(i):
@@ -332,7 +332,7 @@ def brute_components(values, radius=2):
 
     for i in range(len(values)):
         for j in range(i):
-            if bin(values[i] ^ values[j]).count("1") <= radius:
+            if near(values[i], values[j]) if near else bin(values[i] ^ values[j]).count("1") <= radius:
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(values))]
@@ -366,6 +366,22 @@ def test_near_duplicates(request, which, texts):
     assert Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
 
 
+def test_near_copies_find_edited_texts(spark):
+    from sitebraid.llm.simhash import keep_one
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows, n = [], 0
+    for _ in range(30):
+        words = [rng.choice(vocabulary) for _ in range(400)]
+        for copy in range(3):
+            edited = [w if rng.random() > 0.005 * copy else "edited" for w in words]
+            rows.append((n, " ".join(edited), "x"))
+            n += 1
+    kept = [r["doc_id"] for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string, fps string")).collect()]
+    assert set(range(0, 90, 3)) <= set(kept) and len(kept) <= 33
+
+
 def test_crowded_keys_are_exact(spark, monkeypatch):
     from sitebraid.llm import simhash
     from sitebraid.llm.components import connected
@@ -509,7 +525,7 @@ def test_automaton_odd(request, which):
 
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
-    from sitebraid.llm import toxicity
+    from sitebraid.llm import simhash, toxicity
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -518,7 +534,8 @@ def test_pipeline_stages(spark):
     kept = sorted(r["doc_id"] for r in clean.collect())
     assert kept == sorted(i for i, s in scores.items() if s < 0.5) and clean.columns == docs.columns
     single = p.drop_near_copies(spark, clean, SF)
-    roots = brute_components([brute_fingerprint(text[i]) for i in kept])
+    views = [simhash.several(text[i], simhash.COPY_SHINGLE, simhash.COPY_VIEWS) for i in kept]
+    roots = brute_components([sum(v << 64 * k for k, v in enumerate(vs)) for vs in views], near=lambda a, b: any(bin((a ^ b) >> 64 * k & 2**64 - 1).count("1") <= 2 for k in range(simhash.COPY_VIEWS)))
     assert sorted(r["doc_id"] for r in single.collect()) == sorted({kept[r] for r in roots})
     redacted = p.redact_personal_data(spark, single, SF)
     assert redacted.columns == docs.columns and not any("@mail" in r["text"] for r in redacted.collect())
