@@ -1,5 +1,7 @@
 """What the corpus operators share: the shared folder, written tables, id-ordered dealing, Arrow helpers."""
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sitebraid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder under the shared one; that folder goes when the program ends."""
+    own = f"{shared_folder(spark)}/sitebraid/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        drop_path(spark, path)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
