@@ -5,8 +5,8 @@ most two bits, some segment is equal and the segment after it (the first after t
 most one bit: two errors can't spoil all three pairs of neighbours. A segment is a word of the perfect
 (23, 12) Golay code, which decodes every word to one codeword at most three bits away. Each fingerprint
 is filed under its equal segment and the index of the next one's codeword, and looked up under the
-indices that its own next segment and that segment's one-bit neighbours decode to (one or a few). What
-meets there is verified on all 64 bits.
+indices that its own next segment and, if that has an odd number of bits, its one-bit neighbours decode to
+(one or a few). What meets there is verified on all 64 bits.
 
 Equal fingerprints are one node. A key that files more than CROWD fingerprints is not joined: all who
 file or look there are linked by the words at most one bit away instead. Two fingerprints share such a
@@ -131,12 +131,14 @@ def file_keys(values: np.ndarray, view: np.ndarray | int = 0) -> np.ndarray:
 
 
 def look_keys(values: np.ndarray, view: np.ndarray | int = 0) -> list[np.ndarray]:
-    """The keys that each fingerprint is looked up under."""
+    """The keys that each fingerprint is looked up under: its own, and those of the next segment's one-bit neighbours if it
+    has an odd number of bits. Of two segments one bit apart just one is odd, so one of both finds the other."""
     parts = _segments(values)
     found = []
     for i in range(3):
         after, size = parts[(i + 1) % 3], SEGMENTS[(i + 1) % 3][1]
-        near = np.concatenate([after[:, None], after[:, None] ^ (1 << np.arange(size, dtype="i8"))[None, :]], axis=1)
+        odd = (np.bitwise_count(after.view("u8")) & 1).astype("i8")[:, None]
+        near = np.concatenate([after[:, None], after[:, None] ^ (odd << np.arange(size, dtype="i8"))], axis=1)
         found.append(((3 * view + i) << 40 | parts[i] << 12)[:, None] | codeword(near))
     return [np.unique(row) for row in np.concatenate(found, axis=1)]
 
@@ -152,20 +154,20 @@ def links(nodes: DataFrame) -> DataFrame:
     def filed(batches):
         for b in batches:
             values, views = column(b, "fp").to_numpy(), column(b, "view").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(file_keys(values, views).ravel()), pa.array(np.repeat(views, 3)), pa.array(np.repeat(values, 3))], ["key", "view", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(file_keys(values, views).ravel()), pa.array(np.repeat(values, 3))], ["key", "fp"])
 
     def looked(batches):
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 values, views = column(b, "fp").to_numpy()[at : at + 20_000], column(b, "view").to_numpy()[at : at + 20_000]
                 keys = look_keys(values, views)
-                sizes = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(views, sizes)), pa.array(np.repeat(values, sizes))], ["key", "view", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(values, [len(k) for k in keys]))], ["key", "fp"])
 
-    files = nodes.mapInArrow(filed, "key long, view long, fp long")
-    looks = nodes.mapInArrow(looked, "key long, view long, fp long")
+    files = nodes.mapInArrow(filed, "key long, fp long")
+    looks = nodes.mapInArrow(looked, "key long, fp long")
     sizes = files.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first"), F.max("fp").alias("final"))
-    hits = write_table(looks.join(sizes, "key").where((F.col("n") > 1) | (F.col("first") != F.col("fp"))), "hits")
+    view = F.expr("shiftright(key, 40) div 3").alias("view")
+    hits = write_table(looks.join(sizes, "key").where((F.col("n") > 1) | (F.col("first") != F.col("fp"))).select(view, "key", "fp", "n", "first", "final"), "hits")
     few = hits.where(F.col("n") <= 2).select("view", "fp", F.explode(F.array_distinct(F.array("first", "final"))).alias("other"))
     some = hits.where((F.col("n") > 2) & (F.col("n") <= CROWD)).select("key", "view", "fp").join(files.select("key", F.col("fp").alias("other")), "key").select("view", "fp", "other")
     near = few.unionByName(some).where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))

@@ -25,7 +25,7 @@ BYTE_NARROW = re.compile(f"{_CONTRACTIONS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_S
 WORD_NARROW = re.compile(f"{_CONTRACTIONS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _WIDE = re.compile("[^\u0000-ɏ]")
 #: Pieces in each of a worker's two tables: a full one becomes the older, and what is met again moves on.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 400_000
 #: New pieces that go to the library as one text.
 JOINED = 256
 
@@ -63,7 +63,7 @@ def word_pieces(text: str) -> list[str]:
 class PieceEncoder:
     """encode(texts) gives each text's ids as packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -81,6 +81,7 @@ class PieceEncoder:
             self.split = word_pieces
         else:
             self.split = None
+        self.entries = entries
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         if self.split is word_pieces:  # a piece ends with the one token that carries the suffix
@@ -94,20 +95,24 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space inside, as one text; checked by the number of pieces found."""
-        if self.split is word_pieces:
-            ids = np.asarray(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            start = stop - np.diff(stop, prepend=0)
-        else:
-            ids = np.asarray(self.library.encode("\n".join(pieces) + "\n", add_special_tokens=False).ids, "<u4")
-            stop = np.flatnonzero(ids == self.newline[0])
-            start = np.concatenate([[0], stop[:-1] + 1])
-        if len(stop) != len(pieces):
-            return [self._whole(p) for p in pieces]
-        packed = ids.tobytes()
-        return [packed[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    def _learn_joined(self, pieces: list[str]) -> None:
+        """Ids of pieces without white space inside, many as one text; checked by the number of pieces found."""
+        word = self.split is word_pieces
+        parts = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        texts = [" ".join(p) if word else "\n".join(p) + "\n" for p in parts]
+        for part, encoded in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(encoded.ids, "<u4")
+            if word:  # a piece ends with the one id that carries the suffix
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                start = stop - np.diff(stop, prepend=0)
+            else:
+                stop = np.flatnonzero(ids == self.newline[0])
+                start = np.concatenate([[0], stop[:-1] + 1])
+            if len(stop) != len(part):
+                self.known.update((p, self._whole(p)) for p in part)
+                continue
+            packed = ids.tobytes()
+            self.known.update((p, packed[4 * a : 4 * b]) for p, a, b in zip(part, start.tolist(), stop.tolist(), strict=True))
 
     def learn(self, pieces: set[str]) -> None:
         """Puts pieces into the table."""
@@ -119,14 +124,13 @@ class PieceEncoder:
                 known[p] = self._whole(p)
             else:
                 new.append(p)
-        for i in range(0, len(new), JOINED):
-            part = new[i : i + JOINED]
-            known.update(zip(part, self._joined(part), strict=True))
+        if new:
+            self._learn_joined(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return [self._whole(t) for t in texts]
-        if len(self.known) > TABLE_ENTRIES:
+        if len(self.known) > self.entries:
             self.known, self.older = {}, self.known
         plain = [not any(a in t for a in self.added) for t in texts]
         cut = [self.split(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
@@ -145,6 +149,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, entries: int = TABLE_ENTRIES) -> PieceEncoder:
     """One encoder a worker process and file."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, entries)
