@@ -34,6 +34,8 @@ BEGINNINGS, WORD_GROUPS, BEGINNING_GROUPS = (4, 5), 8, 4
 MOST_STARS, PURE = 4, 0.85
 #: Rounds of expectation maximisation and of training.
 ROUNDS, STEPS, RIDGE = 30, 300, 1e-3
+#: Different terms that a task counts before it hands them on.
+COUNTED = 150_000
 
 # Common insults of four languages and words that address somebody.
 INSULTS = (
@@ -93,7 +95,7 @@ def votes_and_terms(text: str, model: Model) -> tuple[list[int], list[int]]:
     votes[at], votes[at + 1] = int(fixed[0]), int(fixed[1])
     if any(fixed):
         votes[at + 2] = int(bool(_AIMED.search(text.lower())))
-    votes[at + 3] = int(len(text) > 20 and sum(map(str.isupper, text[:2000])) > 0.5 * min(len(text), 2000) * 0.8)
+    votes[at + 3] = int(len(text) > 20 and sum(map(str.isupper, text)) > 0.4 * len(text))
     votes[at + 4] = int(bool(_RUNS.search(text)))
     votes[at + 5] = int(bool(_MASKED.search(text)))
     votes[at + 6] = int(len(hit_words) > 1)
@@ -129,7 +131,7 @@ def mine(sample: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
                 for kind, terms in enumerate(terms_of(text)):
                     for t in terms:
                         counts.setdefault((kind, t), [0, 0])[toxic] += 1
-            if len(counts) > 300_000:
+            if len(counts) > COUNTED:
                 yield out()
         if counts:
             yield out()
