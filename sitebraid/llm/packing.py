@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, id_and_text, slices, write_table
-from .subwords import encoder
+from .subwords import TABLE_ENTRIES, encoder
 
 CAPACITY, END_ID = 1024, 2
 #: Bounds of the search: nodes in all, fillings tried a node, steps in looking for fillings.
@@ -186,11 +186,14 @@ def slots(patterns: list[Pattern]) -> np.ndarray:
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every row's ids with the end id: doc_id, piece, start, length, ids_crc32. No shuffle."""
+def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", entries: int = TABLE_ENTRIES) -> DataFrame:
+    """Pieces of every row's ids with the end id: doc_id, piece, start, length, ids_crc32. No shuffle.
+
+    entries: how many pieces a worker's tables hold; memory against time, never a difference in ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        coder, end = encoder(tokenizer, entries), np.asarray([end_id], "<u4").tobytes()
         for batch in slices(batches):
             out = {f: [] for f in PIECES.names}
             for doc, packed in zip(column(batch, "doc_id").to_pylist(), coder.encode(column(batch, "text").to_pylist()), strict=True):

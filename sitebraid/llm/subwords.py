@@ -9,6 +9,7 @@ hold an added token's string, or files whose pattern isn't one of the two below,
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -64,6 +65,7 @@ class PieceEncoder:
     """encode(texts) gives each text's ids as packed little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
