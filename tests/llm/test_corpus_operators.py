@@ -250,6 +250,20 @@ def test_language_model(request, which, texts, monkeypatch):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
 
+def test_score_knows_words_outside_the_head(docs, monkeypatch):
+    from sitebraid.llm import attention_lm
+    from sitebraid.llm.toxicity import crc_remainder
+
+    monkeypatch.setattr(attention_lm, "EPOCHS", 1)
+    got = []
+    for head in (20, 200_000):  # the table that is broadcast saves time only
+        monkeypatch.setattr(attention_lm, "HEAD", head)
+        got.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in attention_lm.lm_scores(docs, WORD, crc_remainder(7) != 2).collect()})
+    assert got[0].keys() == got[1].keys()
+    for i, a in got[0].items():
+        assert a == pytest.approx(got[1][i], rel=1e-5)
+
+
 def test_attention_probabilities_add_up():
     from sitebraid.llm.attention_lm import BLOCK, SYMBOLS, Attention
 
