@@ -69,8 +69,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def several(text: str, shingle: int, views: int) -> list[int]:
-    """The fingerprint, then those of the shingles' hashes mixed anew for each further view."""
-    hashes = _hashes(text, shingle)
+    """The fingerprint of the distinct shingles, then those of their hashes mixed anew for each further view."""
+    hashes = np.unique(_hashes(text, shingle))
     out = [_majority(hashes)]
     for view in range(1, views):
         mixed = hashes + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -200,35 +200,56 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
 
 #: Shingles and views of the pipeline's stage: two words, as many fingerprints as find most copies at RADIUS.
 COPY_SHINGLE, COPY_VIEWS = 2, 16
+#: Two texts are near copies if their sets of shingles of so many words have at least ALIKE tenths of their union in common.
+ALIKE_SHINGLE, ALIKE = 5, 8
 
 
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_VIEWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every row: linked where any of several fingerprints differs in at most RADIUS bits.
+    """doc_id, component_id of every row: near copies by their five-word shingles are linked.
 
-    One fingerprint sees a near copy only if few of its 64 bits turn; each further one (the same shingles,
-    hashed anew) is another chance, while unrelated texts differ in 17 bits and more in all of them.
+    Pairs are proposed where any of several fingerprints differs in at most RADIUS bits: one fingerprint sees
+    a near copy only if few of its 64 bits turn; each further one (the same shingles, hashed anew) is another
+    chance, while unrelated texts differ in 17 bits and more in all of them. Texts that share a fingerprint are
+    proposed with one of them, another one in every view. A link is what the shingle sets of a pair confirm.
     """
 
     def run(part: pa.RecordBatch) -> dict:
-        values = [np.array(several(t, shingle, views), "u8").view("i8").tolist() for t in column(part, "text").to_pylist()]
-        return {"doc_id": column(part, "doc_id"), "fps": values}
-
-    rows = write_table(map_slices(id_and_text(docs, id_col, text_col), run, "doc_id long, fps array<long>"), "views")
-    # texts with all fingerprints equal are one node, told by its smallest id
-    classes = write_table(rows.groupBy("fps").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+        texts = column(part, "text").to_pylist()
+        values = [np.array(several(t, shingle, views), "u8").view("i8").tolist() for t in texts]
+        same = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").translate(_CAPITALS).split())) for t in texts]
+        return {"doc_id": column(part, "doc_id"), "same": same, "fps": values}
+
+    def shingled(part: pa.RecordBatch) -> dict:
+        values = [np.unique(_hashes(t, ALIKE_SHINGLE)).view("i8") for t in column(part, "text").to_pylist()]
+        return {"doc_id": column(part, "doc_id"), "shingles": values}
+
+    narrow = id_and_text(docs, id_col, text_col)
+    rows = write_table(map_slices(narrow, run, "doc_id long, same binary, fps array<long>"), "views")
+    # texts of the same words are one node, told by its smallest id
+    classes = write_table(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps"), F.count("*").alias("n")), "classes")
     seen = classes.where(F.col("first").isNotNull()).select("first", F.posexplode("fps").alias("view", "fp")).select("first", F.col("view").cast("long").alias("view"), "fp")
-    nodes = write_table(seen.groupBy("view", "fp").agg(F.min("first").alias("least")), "nodes")
+    turned = F.xxhash64("view")  # the smallest of ids turned by it is another one in each view
+    nodes = seen.groupBy("view", "fp").agg(F.min(F.col("first").bitwiseXOR(turned)).alias("least"))
+    nodes = write_table(nodes.withColumn("least", F.col("least").bitwiseXOR(turned)), "nodes")
     equal = seen.join(nodes, ["view", "fp"]).where(F.col("first") != F.col("least")).select(F.col("first").alias("u"), F.col("least").alias("v"))
     found = write_table(links(nodes), "links")
     left = found.join(nodes.select("view", F.col("fp").alias("u"), F.col("least").alias("a")), ["view", "u"])
     near = left.join(nodes.select("view", F.col("fp").alias("v"), F.col("least").alias("b")), ["view", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = connected(equal.unionByName(near).where(F.col("u") != F.col("v")).distinct())
-    known = write_table(classes.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("fps", "n", F.coalesce("root", "first").alias("component_id")), "components")
+    pairs = equal.unionByName(near).where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = write_table(pairs.distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    sets = map_slices(narrow.join(asked, "doc_id", "left_semi"), shingled, "doc_id long, shingles array<long>")
+    sets = write_table(sets.distinct(), "shingles")  # an id with several texts is met with each of them
+    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("s")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("t")), "v")
+    common, sizes = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
+    alike = both.where((10 + ALIKE) * common >= ALIKE * sizes).select("u", "v")
+    roots = connected(alike.distinct())
+    known = write_table(classes.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("same", "n", F.coalesce("root", "first").alias("component_id")), "components")
     total = rows.count()
-    often = F.broadcast(known.where(F.col("n") > max(1000, int(total * SHARE))).select("fps", F.col("component_id").alias("often_id"), F.lit(True).alias("often")))  # at most 1 / SHARE rows
-    marked = rows.join(often, "fps", "left")
+    often = F.broadcast(known.where(F.col("n") > max(1000, int(total * SHARE))).select("same", F.col("component_id").alias("often_id"), F.lit(True).alias("often")))  # at most 1 / SHARE rows
+    marked = rows.select("doc_id", "same").join(often, "same", "left")
     hot = marked.where("often").select("doc_id", F.col("often_id").alias("component_id"))
-    rest = marked.where("often is null").select("doc_id", "fps").join(known.select("fps", "component_id"), "fps").select("doc_id", "component_id")
+    rest = marked.where("often is null").select("doc_id", "same").join(known.select("same", "component_id"), "same").select("doc_id", "component_id")
     return hot.unionByName(rest)
 
 

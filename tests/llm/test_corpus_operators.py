@@ -397,6 +397,23 @@ def test_near_copies_find_edited_texts(spark):
     assert set(range(0, 90, 3)) <= set(kept) and len(kept) <= 33
 
 
+def test_near_copies_are_verified(spark):
+    from sitebraid.llm.simhash import keep_one
+
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9)))
+    rows = []
+    for n in range(40):  # every 25th of the first 420 words differs: under 0.8 of the five-word shingles in common
+        words = [word() for _ in range(600)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(word() if i % 25 == 7 and i < 420 else w for i, w in enumerate(words)))]
+    rows += [(100 + n, "so so " * 700 + " ".join(word() for _ in range(300))) for n in range(5)]  # one pair of words is most of each
+    rows += [(200, rows[0][1] + " end"), (201, rows[0][1].upper())]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    assert all(len(sets[2 * n] & sets[2 * n + 1]) < 0.8 * len(sets[2 * n] | sets[2 * n + 1]) for n in range(40))
+    kept = {r["doc_id"] for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {*range(80), *range(100, 105)}
+
+
 def test_crowded_keys_are_exact(spark, monkeypatch):
     from sitebraid.llm import simhash
     from sitebraid.llm.components import connected
