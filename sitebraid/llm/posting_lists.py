@@ -216,7 +216,8 @@ def search(vectors: DataFrame, nearest: int = NEAREST, every: int = QUERY_EVERY,
     rows = usable(vectors, id_col, vec_col)
     queries = write_table(_packed(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])), "queries")
     place = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))  # limited in each task before the shuffle
-    first = rows.withColumn("place", place).where(F.col("place") <= nearest + 1 + 1).drop("place").dropDuplicates(["vec_id", "v"])
+    single = rows.dropDuplicates(["vec_id", "v"])  # copies of a row mustn't take other ids' places
+    first = single.withColumn("place", place).where(F.col("place") <= nearest + 1 + 1).drop("place")
     kept = write_table(_packed(first), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     n = kept.count()

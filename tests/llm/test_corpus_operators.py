@@ -316,6 +316,14 @@ def test_posting_lists(spark):
     assert by[100][0][1] == 101 and by[150][0][1] == 100  # ties to the smaller id
 
 
+def test_posting_lists_repeated_rows(spark):
+    from sitebraid.llm.posting_lists import search
+
+    rows = [(0, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(1, 8)] + [(100 + i, [1.0, -1.0 - i]) for i in range(9)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and all(abs(r["score"] - 1) < 1e-12 for r in got)
+
+
 def test_posting_lists_few(spark):
     from sitebraid.llm.posting_lists import search
 
