@@ -69,6 +69,11 @@ def _kind(tag: str, attributes: str) -> tuple[str, int]:
     return part, int(tag == "header")
 
 
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile("</" + tag, re.IGNORECASE | re.ASCII)
+
+
 class Page:
     """A page's elements and the text blocks that aren't furniture, in page order."""
 
@@ -79,7 +84,6 @@ class Page:
         words: list[str] = []
         links = anchor = 0
         at, pending = 0, 0
-        lower = None
 
         def flush() -> None:
             nonlocal links
@@ -143,15 +147,13 @@ class Page:
             if tag == "br" or tag == "wbr" or tag == "img":
                 if words and tag != "wbr":
                     words.append(" ")
-            if tag in VOID or found[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in ("a", "b", "i", "span", "em", "strong"):
+            if tag in VOID or found[3].endswith("/") and tag not in BLOCKS and (tag not in RAW or tag in ("svg", "math")) and tag not in ("a", "b", "i", "span", "em", "strong"):
                 continue
             if tag in RAW:
-                if lower is None:
-                    lower = source.lower()
-                end = lower.find("</" + tag, at)
-                if end < 0:
+                end = _raw_end(tag).search(source, at)
+                if not end:
                     break
-                at = end
+                at = end.start()
                 stack.append((stack[-1][0], tag, 2, False))
                 continue
             owner, _, furniture, in_header = stack[-1]

@@ -516,6 +516,16 @@ def test_main_text_of_articles(spark):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+def test_main_text_behind_raw_elements():
+    from sitebraid.llm.html_text import Page
+
+    def texts(inner):
+        return [b[1] for b in Page(f"<html><body><article><p>İstanbul İİ</p>{inner}<p>the rest of the article</p></article></body></html>").blocks]
+
+    for inner in ("<script>var a = '<p>';</SCRIPT>", "<style>p {}</style>", '<svg width="1"/>', "<svg/>", "<math />", "<svg><path d='M0'/></svg>"):
+        assert texts(inner) == ["İstanbul İİ", "the rest of the article"], inner
+
+
 def test_main_text_odd(spark):
     from sitebraid.llm.html_text import Page, main_text
 
