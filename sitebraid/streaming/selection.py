@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,18 +38,24 @@ def cache_answers(requests: DataFrame, fresh: float, stale: float) -> DataFrame:
     """key, event_id, answer of requests (key, event_id, at in seconds, failed), in the order of at and event_id.
 
     'hit' within fresh of the last store; else 'store', or on a failure 'stale' within stale and 'error'
-    beyond. A fold a key: only a store renews the age, which no window frame says.
+    beyond. A fold a key: only a store renews the age, which no window frame says. Keys come sorted, and from
+    batch to batch only the last key and its store are kept, so a key of any size streams through its task.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stored, out = None, []
-        pdf = pdf.sort_values(["at", "event_id"])
-        for at, failed in zip(pdf["at"], pdf["failed"], strict=True):
-            answer, stored = _answers(stored, at, failed, fresh, stale)
-            out.append(answer)
-        return pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "answer": out})
-
-    return requests.groupBy("key").applyInPandas(run, "key string, event_id long, answer string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stored = object(), None
+        for batch in batches:
+            out = []
+            for key, at, failed in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "failed")), strict=True):
+                if key != last:
+                    last, stored = key, None
+                answer, stored = _answers(stored, math.nan if at is None else at, failed, fresh, stale)
+                out.append(answer)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id"), pa.array(out, pa.string())], ["key", "event_id", "answer"])
+
+    rows = requests.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("double").alias("at"), "failed")
+    dealt = rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("at"), F.asc_nulls_last("event_id"))
+    return dealt.mapInArrow(run, "key string, event_id long, answer string")
 
 
 def changes_stream(selections: DataFrame, key: str = "key", value: str = "selection") -> DataFrame:

@@ -22,6 +22,26 @@ def test_cache_answers(spark):
     assert got == {1: "store", 2: "hit", 3: "stale", 4: "error", 5: "store", 6: "error"}
 
 
+def test_cache_answers_stream_a_hot_key(spark):
+    import random
+
+    from sitebraid.streaming.selection import _answers, cache_answers
+
+    rng, n = random.Random(3), 900
+    rows = [("hot" if rng.random() < 0.6 else rng.choice("abc"), i, float(rng.randint(0, 2000)), rng.random() < 0.5) for i in range(n)]
+    want, stored = {}, {}
+    for key, i, at, failed in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        want[i], stored[key] = _answers(stored.get(key), at, failed, 4, 12)
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        answers = cache_answers(spark.createDataFrame(rows, "key string, event_id long, at double, failed boolean"), 4, 12)
+        assert {r["event_id"]: r["answer"] for r in answers.collect()} == want and set(want.values()) == {"hit", "store", "stale", "error"}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert "FlatMapGroupsInPandas" not in answers._jdf.queryExecution().executedPlan().toString()  # holds a whole key
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
