@@ -74,17 +74,28 @@ def vertex_key(p: Column, tolerance: float = 0.001) -> Column:
     return F.concat_ws("|", *(quantize(p[c], tolerance).cast("string") for c in ("x", "y", "z")))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once: lambdas of higher-order functions bind, plain columns are pasted in again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _least_rotation(keys: Column) -> Column:
+    """The least of the joined rotations of keys; only rotations from the least key can be the least."""
     n = F.size(keys)
-    turned = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.concat(F.slice(keys, i, n), F.slice(keys, F.lit(1), i - 1)), ";"))
-    return F.array_min(turned)
+    turn = lambda i: F.array_join(F.concat(F.slice(keys, i + 1, n), F.slice(keys, F.lit(1), i)), ";")
+    least = F.array_min(F.transform(keys, lambda k: F.concat(k, F.lit(";"))))
+    starts = lambda low: F.filter(F.transform(keys, lambda k, i: F.when(F.concat(k, F.lit(";")) == low, i)), lambda i: i.isNotNull())
+    return _bound(least, lambda low: F.array_min(F.transform(starts(low), turn)))
 
 
 def ring_key(ring: Column, tolerance: float = 0.001) -> Column:
     """One text for a 3D ring, whatever vertex it starts at and whichever way it runs; a closing vertex is left out."""
-    keys = F.transform(ring, lambda p: vertex_key(p, tolerance))
-    keys = F.when((F.size(keys) > 1) & (F.get(keys, F.lit(0)) == F.get(keys, F.size(keys) - 1)), F.slice(keys, F.lit(1), F.size(keys) - 1)).otherwise(keys)
-    return F.when(F.size(keys) > 0, F.least(_least_rotation(keys), _least_rotation(F.reverse(keys)))).otherwise(F.lit(""))
+
+    def of(keys: Column) -> Column:
+        open_ = F.when((F.size(keys) > 1) & (F.get(keys, F.lit(0)) == F.get(keys, F.size(keys) - 1)), F.slice(keys, F.lit(1), F.size(keys) - 1)).otherwise(keys)
+        return _bound(open_, lambda k: F.when(F.size(k) > 0, F.least(_least_rotation(k), _bound(F.reverse(k), _least_rotation))).otherwise(F.lit("")))
+
+    return _bound(F.transform(ring, lambda p: vertex_key(p, tolerance)), of)
 
 
 def surface_key(outer: Column, inners: Column, tolerance: float = 0.001) -> Column:

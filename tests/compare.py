@@ -6,6 +6,8 @@ import os
 
 import duckdb
 
+#: The smallest tables.
+SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

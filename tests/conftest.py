@@ -7,7 +7,6 @@ import pytest
 
 os.environ.setdefault("TZ", "UTC")
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -22,6 +21,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    from compare import connect
+    from compare import SMALL, connect
 
     return connect(SMALL)

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 
 from sitebraid.plans import registry
 

@@ -1,8 +1,7 @@
 """Every registered query against its SQL, at the smallest scale."""
 
 import pytest
-from compare import difference
-from conftest import SMALL
+from compare import SMALL, difference
 
 from sitebraid.plans import registry
 
