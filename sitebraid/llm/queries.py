@@ -51,7 +51,7 @@ def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .attention_lm import lm_scores
     from .toxicity import crc_remainder
 
-    scored = lm_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), crc_remainder(7) != 2)
+    scored = lm_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), crc_remainder(7) != 2)
     return scored.select("doc_id", F.coalesce(crc_remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
