@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,12 @@ ROWS_A_RANGE = 8_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master gets a
+    temporary folder; a cluster gets an error, as its executors would each write to a disk of their own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sitebraid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -102,35 +106,58 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema
     return df.mapInArrow(run, struct)
 
 
-def range_bounds(ids: DataFrame, id_col: str) -> tuple[int, np.ndarray]:
-    """Rows of ids, and the upper bounds of ranges of about ROWS_A_RANGE rows each, at most MOST_RANGES.
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of ids, ascending: those of null ids, then one up to each cut (a cut that repeats is an id that fills several), then the rest."""
+
+    rows: int
+    nulls: int
+    cuts: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return self.nulls + len(self.cuts) + 1
+
+    @property
+    def hot(self) -> bool:
+        """Whether an id or the null ids fill more than one range."""
+        return self.nulls > 1 or bool((np.diff(self.cuts) == 0).any())
 
-    Gathers quantiles of the ids only (a bounded sketch), not the ids.
-    """
-    rows = ids.count()
+
+def ranges_of(ids: DataFrame, id_col: str) -> Ranges:
+    """Ranges of about ROWS_A_RANGE rows each, MOST_RANGES at most. Gathers quantiles of the ids only (a bounded sketch)."""
+    rows, known = ids.agg(F.count("*"), F.count(id_col)).first()
     n = min(MOST_RANGES, max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_RANGE)))
-    if rows == 0 or n < 2:
-        return rows, np.zeros(0, "i8")
+    nulls = -(-(rows - known) * n // max(rows, 1))
+    n -= nulls
+    if not known or n < 2:
+        return Ranges(rows, nulls, np.zeros(0, "i8"))
     cuts = ids.where(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 2 * n)).alias("q")).first()["q"]
-    return rows, np.unique(np.asarray(cuts or [], "i8"))
+    return Ranges(rows, nulls, np.sort(np.asarray(cuts or [], "i8")))
+
+
+def range_numbers(ids: pa.Array, ties: np.ndarray, ranges: Ranges) -> np.ndarray:
+    """The range of each id; an id (or null) that fills several is dealt over them by ties, in their order."""
+    null = pc.is_null(ids).to_numpy(zero_copy_only=False)
+    values = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("i8")
+    low = np.searchsorted(ranges.cuts, values, "left") + ranges.nulls
+    many = np.maximum(1, np.searchsorted(ranges.cuts, values, "right") + ranges.nulls - low)
+    low[null], many[null] = 0, max(1, ranges.nulls)
+    share = ties.astype("f8") / 2.0**64 + 0.5
+    return (low + np.minimum((share * many).astype("i8"), many - 1)).astype("i4")
 
 
-def range_of(id_col: str, bounds: np.ndarray) -> Column:
+def range_of(id_col: str, tie_col: str, ranges: Ranges) -> Column:
     """The number of the range that an id falls in, ascending; null ids come first."""
 
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), "i4")
-        out[known] = np.searchsorted(bounds, ids[known].astype("int64").to_numpy(), "left")
-        return pd.Series(out)
+    @F.arrow_udf("int")
+    def number(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(range_numbers(ids, ties.to_numpy(zero_copy_only=False), ranges), pa.int32())
 
-    return number(F.col(id_col))
+    return number(F.col(id_col), F.col(tie_col))
 
 
-def deal_by_id(df: DataFrame, bounds: np.ndarray, descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with their range, one range a partition, sorted by id inside it. df has a column range or gets it."""
-    if "range" not in df.columns:
-        df = df.withColumn("range", range_of("doc_id", bounds))
-    order = F.desc_nulls_last("doc_id") if descending else F.asc_nulls_first("doc_id")
-    return df.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions(order, *(F.col(t).desc() if descending else F.col(t) for t in ties))
+def ranged(texts: DataFrame, ranges: Ranges) -> DataFrame:
+    """texts (doc_id, text) with tie, which orders rows of one id (a hash of the text where an id is that frequent, else 0), and range."""
+    tied = texts.withColumn("tie", F.xxhash64("text") if ranges.hot else F.lit(0).cast("long"))
+    return tied.withColumn("range", range_of("doc_id", "tie", ranges))

@@ -8,6 +8,7 @@ that it has is returned; a page that has none of them falls back on its own best
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,20 +41,22 @@ NEVER_FURNITURE = frozenset(["html", "body", "main", "article"])
 CONTENT = frozenset("article body content entry main post story text".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)(>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMES = re.compile(r"[a-z]+")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_DIGITS = re.compile(r"[\d_-]+")
+_DIGITS = re.compile(r"[\d_/-]+")
 
 
 @lru_cache(maxsize=50_000)
 def _kind(tag: str, attributes: str) -> tuple[str, int]:
     """The element's part of a generalised path, and whether it is furniture (2), a header (1) or neither (0)."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name counts
     names = (html.unescape(found.get("class", "")) + " " + html.unescape(found.get("id", ""))).split()
     general = sorted({g for n in html.unescape(found.get("class", "")).lower().split() if (g := _DIGITS.sub("", n))})[:3]
     part = tag + "".join("." + g for g in general)
-    hidden = "hidden" in _NAMES.findall(attributes.split("=")[0].lower()) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     if tag in NEVER_FURNITURE:
         return part, 0
     if tag in FURNITURE_TAGS or hidden or found.get("role", "").lower() in FURNITURE_ROLES:
@@ -74,13 +77,21 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile("</" + tag, re.IGNORECASE | re.ASCII)
 
 
+#: Open elements that a start tag may close, by tag.
+_CLOSES = {tag: frozenset(open_ for open_, closers in CLOSED_BY.items() if tag in closers) for tag in frozenset().union(*CLOSED_BY.values())}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LISTS = frozenset("ul ol dl tr tbody table blockquote li".split())
+
+
 class Page:
-    """A page's elements and the text blocks that aren't furniture, in page order."""
+    """A page's elements and the text blocks that aren't furniture, in page order. Memory and time grow with the source, however deep it nests."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.paths = ["#"], [0], [""]
+        # a block element: its tag, parent, part of a path, a hash of its whole path, and the nearest element at or above it that isn't a list
+        self.tags, self.parents, self.parts, self.hashes, self.homes = ["#"], [0], [""], [hash("")], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        stack = [(0, "#", 0, False)]  # element, tag, furniture, in an article's header
+        stack = [(0, "#", 0, False, False, False)]  # element, tag, furniture, in an article's header, in an article, in a heading
+        opened: Counter = Counter()  # open elements by tag
         words: list[str] = []
         links = anchor = 0
         at, pending = 0, 0
@@ -94,12 +105,17 @@ class Page:
                 words.clear()
             links = 0
 
+        def close(k: int) -> None:
+            for s in stack[k:]:
+                opened[s[1]] -= 1
+            del stack[k:]
+
         while True:
             found = _TAG.search(source, at)
             stop = found.start() if found else len(source)
             if stop > at and not stack[-1][2]:
-                owner, tag, _, in_header = stack[-1]
-                if not in_header or any(t[1][:1] == "h" and t[1][1:].isdigit() for t in stack):
+                owner, tag, _, in_header, _, in_heading = stack[-1]
+                if not in_header or in_heading:
                     text = source[at:stop]
                     text = html.unescape(text) if "&" in text else text
                     if not words:
@@ -117,8 +133,9 @@ class Page:
                 break
             tag = name.lower()
             if found[1]:
-                if tag == "p" and not any(s[1] == "p" for s in stack):
-                    flush()
+                if not opened[tag]:
+                    if tag in BLOCKS:
+                        flush()
                     continue
                 k = len(stack) - 1
                 while k > 0 and stack[k][1] != tag:
@@ -129,45 +146,66 @@ class Page:
                 if tag in BLOCKS:
                     flush()
                 if k > 0:
-                    del stack[k:]
+                    close(k)
                 if tag == "a":
                     anchor = max(0, anchor - 1)
                 continue
             if tag in BLOCKS:
                 flush()
                 anchor = 0
-            for k in range(len(stack) - 1, 0, -1):  # ends that HTML lets authors leave out
-                open_tag = stack[k][1]
-                if tag in CLOSED_BY.get(open_tag, ()):
-                    del stack[k:]
-                    break
-                if open_tag in SCOPES.get(tag, ()) or tag == "p" and open_tag in BLOCKS or open_tag in ("table", "body"):
-                    break
+            if any(opened[t] for t in _CLOSES.get(tag, ())):
+                for k in range(len(stack) - 1, 0, -1):  # ends that HTML lets authors leave out
+                    open_tag = stack[k][1]
+                    if tag in CLOSED_BY.get(open_tag, ()):
+                        close(k)
+                        break
+                    if open_tag in SCOPES.get(tag, ()) or tag == "p" and open_tag in BLOCKS or open_tag in ("table", "body"):
+                        break
             part, kind = _kind(tag, found[3])
             if tag == "br" or tag == "wbr" or tag == "img":
                 if words and tag != "wbr":
                     words.append(" ")
             if tag in VOID or found[3].endswith("/") and tag not in BLOCKS and (tag not in RAW or tag in ("svg", "math")) and tag not in ("a", "b", "i", "span", "em", "strong"):
                 continue
+            owner, _, furniture, in_header, inside, in_heading = stack[-1]
             if tag in RAW:
                 end = _raw_end(tag).search(source, at)
                 if not end:
                     break
                 at = end.start()
-                stack.append((stack[-1][0], tag, 2, False))
+                stack.append((owner, tag, 2, False, inside, in_heading))
+                opened[tag] += 1
                 continue
-            owner, _, furniture, in_header = stack[-1]
             if tag == "a":
                 anchor += 1
             if tag in BLOCKS:
                 self.tags.append(tag)
                 self.parents.append(owner)
-                self.paths.append(self.paths[owner] + "/" + part)
+                self.parts.append(part)
+                self.hashes.append(hash((self.hashes[owner], part)))
+                self.homes.append(self.homes[owner] if tag in _LISTS else len(self.tags) - 1)
                 owner = len(self.tags) - 1
-            inside = any(s[1] in ("article", "main") for s in stack)
-            stack.append((owner, tag, furniture or 2 * (kind == 2 or kind == 1 and not inside), in_header or kind == 1 and inside))
+            stack.append((owner, tag, furniture or 2 * (kind == 2 or kind == 1 and not inside), in_header or kind == 1 and inside, inside or tag in ("article", "main"), in_heading or tag in _HEADINGS))
+            opened[tag] += 1
         flush()
 
+    def path(self, i: int) -> str:
+        """The parts from the top down to an element."""
+        parts = []
+        while i:
+            parts.append(self.parts[i])
+            i = self.parents[i]
+        return "".join("/" + p for p in reversed(parts))
+
+    def at_path(self, path: str) -> set[int]:
+        """The elements with this path, by its hash; the first of them is compared part by part."""
+        parts = path.split("/")[1:]
+        wanted = hash("")
+        for p in parts:
+            wanted = hash((wanted, p))
+        found = [i for i, h in enumerate(self.hashes) if h == wanted]
+        return set(found) if found and self.path(found[0]) == path else set()
+
     def ranked(self) -> list[tuple[float, int]]:
         """Containers, best first: what their paragraphs score, more for elements that say they hold content."""
         scores = np.zeros(len(self.tags))
@@ -177,16 +215,14 @@ class Page:
                 continue
             value = 1 + min(n, 2000) / 100 + min(text.count(","), 20) / 4
             if self.tags[owner] in LEAVES:
-                owner = self.parents[owner]
-                while self.tags[owner] in ("ul", "ol", "dl", "tr", "tbody", "table", "blockquote", "li"):
-                    owner = self.parents[owner]
+                owner = self.homes[self.parents[owner]]
             scores[owner] += value
             above = self.parents[owner]
             if owner:
                 scores[above] += value / 2
         out = []
         for i in np.flatnonzero(scores).tolist():
-            tag, part = self.tags[i], self.paths[i].rpartition("/")[2]
+            tag, part = self.tags[i], self.parts[i]
             weight = 2.0 if tag == "article" else 1.6 if tag == "main" else 1.0
             if not CONTENT.isdisjoint(_NAMES.findall(part.partition(".")[2])):
                 weight *= 1.25
@@ -205,7 +241,7 @@ class Page:
 
     def extract(self, paths: list[str]) -> str:
         for path in paths:
-            roots = {i for i, p in enumerate(self.paths) if p == path}
+            roots = self.at_path(path)
             if roots and (text := self.text_under(roots)):
                 return text
         best = self.ranked()
@@ -237,7 +273,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 if not ranked:
                     votes.setdefault((host, ""), [0, 0.0])[0] += 1
                 for k, (score, i) in enumerate(ranked):
-                    held = votes.setdefault((host, page.paths[i]), [0, 0.0])
+                    held = votes.setdefault((host, page.path(i)), [0, 0.0])
                     held[0] += k == 0
                     held[1] += (k == 0) + score / total
             keys = list(votes)

@@ -27,8 +27,8 @@ WORD_NARROW = re.compile(f"{_CONTRACTIONS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_
 _WIDE = re.compile("[^\u0000-ɏ]")
 #: Pieces in each of a worker's two tables: a full one becomes the older, and what is met again moves on.
 TABLE_ENTRIES = 400_000
-#: New pieces that go to the library as one text.
-JOINED = 256
+#: New pieces that go to the library as one text; characters of the longest piece that a table keeps.
+JOINED, LONGEST = 256, 128
 
 
 @lru_cache(maxsize=1)
@@ -97,9 +97,9 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_joined(self, pieces: list[str]) -> None:
+    def _joined(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces without white space inside, many as one text; checked by the number of pieces found."""
-        word = self.split is word_pieces
+        word, found = self.split is word_pieces, {}
         parts = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
         texts = [" ".join(p) if word else "\n".join(p) + "\n" for p in parts]
         for part, encoded in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
@@ -111,23 +111,26 @@ class PieceEncoder:
                 stop = np.flatnonzero(ids == self.newline[0])
                 start = np.concatenate([[0], stop[:-1] + 1])
             if len(stop) != len(part):
-                self.known.update((p, self._whole(p)) for p in part)
+                found.update((p, self._whole(p)) for p in part)
                 continue
             packed = ids.tobytes()
-            self.known.update((p, packed[4 * a : 4 * b]) for p, a, b in zip(part, start.tolist(), stop.tolist(), strict=True))
+            found.update((p, packed[4 * a : 4 * b]) for p, a, b in zip(part, start.tolist(), stop.tolist(), strict=True))
+        return found
 
-    def learn(self, pieces: set[str]) -> None:
-        """Puts pieces into the table."""
-        known, older, new = self.known, self.older, []
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces; those that aren't long go into the table."""
+        older, new, found = self.older, [], {}
         for p in pieces:
             if (ids := older.get(p)) is not None:
-                known[p] = ids
-            elif p.isspace():
-                known[p] = self._whole(p)
+                found[p] = ids
+            elif p.isspace() or len(p) > LONGEST:
+                found[p] = self._whole(p)
             else:
                 new.append(p)
         if new:
-            self._learn_joined(new)
+            found.update(self._joined(new))
+        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
@@ -140,9 +143,9 @@ class PieceEncoder:
         ids = list(map(self.known.get, flat))
         if None in ids:
             holes = [i for i, x in enumerate(ids) if x is None]
-            self.learn({flat[i] for i in holes})
+            found = self.learn({flat[i] for i in holes})
             for i in holes:
-                ids[i] = self.known[flat[i]]
+                ids[i] = found[flat[i]]
         out, at = [], 0
         for t, c, ok in zip(texts, cut, plain, strict=True):
             out.append(b"".join(ids[at : at + len(c)]) if ok else self._whole(t))

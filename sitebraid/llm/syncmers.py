@@ -12,12 +12,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, deal_by_id, id_and_text, map_slices, range_bounds, range_of, slices
+from .common import column, id_and_text, map_slices, ranged, ranges_of, slices
 
 #: Code points of a k-mer and of its inner s-mers; anchors in a fingerprint.
 K, S, SKETCH = 12, 4, 64
@@ -126,31 +125,25 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha25
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of an edited copy and that of the next document.
 
-    Documents are ordered by descending doc_id (repeated ids by descending text, null ids last); the last
-    one's next is the first. The edited copy has its last floor(n/2) code points replaced by as many first
-    ones of the next text, or all it has. A table of one row has itself as next; an empty table gives none.
+    Documents are ordered by descending doc_id, null ids last; rows of one id by descending text, or by a hash
+    of it and then the text where an id has so many rows that they fill several ranges. The last one's next is
+    the first. The edited copy has its last floor(n/2) code points replaced by as many first ones of the next
+    text, or all it has. A table of one row has itself as next; an empty table gives none.
 
     One shuffle: texts go to ranges of doc_id. The top row of each range goes to the range above it as
     well, since the lowest row there needs it (the topmost goes to the lowest range).
     """
     texts = id_and_text(docs, id_col, text_col)
-    _, bounds = range_bounds(texts.select("doc_id"), "doc_id")
-    ranged = texts.select("doc_id").withColumn("range", range_of("doc_id", bounds))
-    tops = sorted((r["range"], r["top"]) for r in ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect())  # a row a range
-    above = {r: (tops[i + 1][0] if i + 1 < len(tops) else tops[0][0], top) for i, (r, top) in enumerate(tops)}
-
-    @F.pandas_udf("array<int>")
-    def homes(ranges: pd.Series, ids: pd.Series) -> pd.Series:
-        out = []
-        for r, i in zip(ranges, ids, strict=True):
-            to, top = above[int(r)]
-            is_top = pd.isna(i) if top is None else not pd.isna(i) and int(i) == top
-            out.append([int(r), -1 - to] if is_top else [int(r)])
-        return pd.Series(out)
-
-    dealt = texts.withColumn("range", range_of("doc_id", bounds)).withColumn("home", F.explode(homes("range", "doc_id")))
-    dealt = dealt.select("doc_id", "text", (F.col("home") < 0).alias("lent"), F.when(F.col("home") < 0, -1 - F.col("home")).otherwise(F.col("home")).alias("range"))
-    ordered = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("lent", F.desc_nulls_last("doc_id"), F.desc("text"))
+    spark, ranges = docs.sparkSession, ranges_of(texts.select("doc_id"), "doc_id")
+    rows = ranged(texts, ranges)
+    tops = rows.groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("top")).orderBy("range").collect()  # a row a range
+    lending = [(r["range"], r["top"]["doc_id"], r["top"]["tie"], tops[(i + 1) % len(tops)]["range"]) for i, r in enumerate(tops)]
+    lent = F.broadcast(spark.createDataFrame(lending, "range int, top long, top_tie long, above int"))  # MOST_RANGES rows at most
+    is_top = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("tie") == F.col("top_tie"))
+    own, other = F.struct(F.col("range").alias("range"), F.lit(False).alias("lent")), F.struct(F.col("above").alias("range"), F.lit(True).alias("lent"))
+    dealt = rows.join(lent, "range").select("doc_id", "text", "tie", F.explode(F.when(is_top, F.array(own, other)).otherwise(F.array(own))).alias("home"))
+    dealt = dealt.select("doc_id", "text", "tie", "home.lent", "home.range")
+    ordered = dealt.repartitionById(ranges.n, F.col("range")).sortWithinPartitions("lent", F.desc_nulls_last("doc_id"), F.desc("tie"), F.desc("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, over = None, False

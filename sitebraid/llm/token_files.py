@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, deal_by_id, id_and_text, new_path, range_bounds, slices
+from .common import column, id_and_text, new_path, ranged, ranges_of, slices
 from .subwords import encoder
 
 #: Bits of a chunk on each level; 8 + 8 + 8 + 8 covers unsigned 32-bit ids.
@@ -100,11 +100,12 @@ class Segment:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts, end_id after each, and writes segments in ascending doc_id order to path.
 
-    Null texts count as empty; null ids come first; repeated ids are ordered by text. One shuffle, of the
-    texts by range of doc_id; each task then streams its sorted rows into segments.
+    Null texts count as empty; null ids come first; rows of one id are ordered by text (by a hash of it and
+    then the text where an id has so many rows that they fill several ranges). One shuffle, of the texts by
+    range of doc_id; each task then streams its sorted rows into segments.
     """
     texts = id_and_text(docs, id_col, text_col)
-    _, bounds = range_bounds(texts.select("doc_id"), "doc_id")
+    ranges = ranges_of(texts.select("doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.asarray([end_id], "<u4")
@@ -132,7 +133,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if size:
             yield flush()
 
-    deal_by_id(texts, bounds, ties=("text",)).select("range", "doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
+    dealt = ranged(texts, ranges).repartitionById(ranges.n, F.col("range")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "text")
+    dealt.select("range", "doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 SEGMENT_ARROW = pa.schema([("range", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("codes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("doc_opens", pa.list_(pa.bool_()))])
