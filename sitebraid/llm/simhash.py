@@ -19,7 +19,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, id_and_text, map_slices, write_table
@@ -198,69 +199,168 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     return hot.unionByName(rest)
 
 
-#: Shingles and views of the pipeline's stage: two words, as many fingerprints as find most copies at RADIUS.
-COPY_SHINGLE, COPY_VIEWS = 2, 16
+#: Shingles and views of the pipeline's stage: two words, as many fingerprints as find most copies.
+COPY_SHINGLE, COPY_VIEWS = 2, 10
 #: Two texts are near copies if their sets of shingles of so many words have at least ALIKE tenths of their union in common.
 ALIKE_SHINGLE, ALIKE = 5, 8
+#: Members of a key before it with which each is proposed, besides the key's first.
+BEFORE = 3
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_VIEWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every row: near copies by their five-word shingles are linked.
+def several_keys(values: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints and the row of each: an equal segment and every codeword at most four bits from the next one.
 
-    Pairs are proposed where any of several fingerprints differs in at most RADIUS bits: one fingerprint sees
-    a near copy only if few of its 64 bits turn; each further one (the same shingles, hashed anew) is another
-    chance, while unrelated texts differ in 17 bits and more in all of them. Texts that share a fingerprint are
-    proposed with one of them, another one in every view. A link is what the shingle sets of a pair confirm.
+    Those are what the segment itself and its one-bit neighbours decode to, one to six. Segments up to two bits
+    apart nearly always have a codeword in common.
+    """
+    parts, keys, rows = _segments(values), [], []
+    for i in range(3):
+        after, size = parts[(i + 1) % 3], SEGMENTS[(i + 1) % 3][1]
+        near = codeword(np.concatenate([after[:, None], after[:, None] ^ (1 << np.arange(size, dtype="i8"))], axis=1))
+        near.sort(axis=1)
+        fresh = np.concatenate([np.ones((len(near), 1), bool), near[:, 1:] != near[:, :-1]], axis=1)
+        row, at = np.nonzero(fresh)
+        keys.append((3 * view + i) << 40 | parts[i][row] << 12 | near[row, at])
+        rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _neighbours(keys: np.ndarray, nodes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sorted rows: each with the BEFORE rows ahead of it in its key and with the key's first."""
+    left, right = [], []
+    for gap in range(1, BEFORE + 1):
+        same = np.flatnonzero(keys[gap:] == keys[:-gap])
+        left.append(nodes[same])
+        right.append(nodes[same + gap])
+    left.append(firsts)
+    right.append(nodes)
+    u, v = np.concatenate(left), np.concatenate(right)
+    return u[u != v], v[u != v]
+
+
+def proposed(classes: DataFrame) -> DataFrame:
+    """u < v: pairs of nodes that meet under a key of some view. classes: node (long), fps (a fingerprint a view).
+
+    Rows are sorted by key over all tasks, so a key with very many members is dealt over several; each row is
+    paired with a few rows before it and the first of its key in its task, and the last row of a task with the
+    first one of the next. A key's members stay connected however many they are, and no task holds a key.
     """
 
+    def keyed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                nodes, fps = column(part, "node").to_numpy(), column(part, "fps").flatten().to_numpy().reshape(part.num_rows, -1)
+                for view in range(fps.shape[1]):
+                    keys, rows = several_keys(np.ascontiguousarray(fps[:, view]), view)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[rows])], ["key", "node"])
+
+    def met(batches):
+        task = TaskContext.get().partitionId()
+        held_keys, held, first = np.zeros(0, "i8"), np.zeros(0, "i8"), None
+        ends: list[tuple[int, int]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.concatenate([held_keys, column(batch, "key").to_numpy()])
+            nodes = np.concatenate([held, column(batch, "node").to_numpy()])
+            opens = np.concatenate([[True], keys[1:] != keys[:-1]])
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(keys)), 0))
+            firsts = nodes[at]
+            if first is not None and len(held_keys):
+                firsts[keys == held_keys[-1]] = first
+            ends = [ends[0] if ends else (int(keys[0]), int(nodes[0])), (int(keys[-1]), int(nodes[-1]))]
+            u, v = _neighbours(keys, nodes, firsts)
+            first, keep = firsts[-1], min(BEFORE, len(keys))
+            held_keys, held = keys[-keep:], nodes[-keep:]
+            if len(u):
+                none = pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none], ["u", "v", "key", "task"])
+        for side, (key, node) in enumerate(ends):
+            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([side]), pa.array([key]), pa.array([task])], ["u", "v", "key", "task"])
+
+    keys = classes.mapInArrow(keyed, "key long, node long")
+    found = write_table(keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(met, "u long, v long, key long, task long").distinct(), "met")
+    ends = sorted(tuple(r) for r in found.where("task is not null").select("task", "v", "key", "u").collect())  # two rows a task
+    over = [(min(a[3], b[3]), max(a[3], b[3])) for a, b in zip(ends[1::2], ends[2::2]) if a[2] == b[2] and a[3] != b[3]]
+    pairs = found.where("task is null").select("u", "v")
+    return pairs.unionByName(classes.sparkSession.createDataFrame(over, "u long, v long")) if over else pairs
+
+
+def _mark(docs: DataFrame) -> Column:
+    """A hash of a whole row, all columns."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return F.xxhash64(*(F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(f"`{c}`") for c in docs.columns))
+
+
+def _words_digest(text: str) -> bytes:
+    """Of a text's words, A-Z in lower case."""
+    return xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").translate(_CAPITALS).split()))
+
+
+def _copies(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, same) and classes of equal words (same, least row, its component) with near copies linked."""
+
     def run(part: pa.RecordBatch) -> dict:
         texts = column(part, "text").to_pylist()
         values = [np.array(several(t, shingle, views), "u8").view("i8").tolist() for t in texts]
-        same = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").translate(_CAPITALS).split())) for t in texts]
-        return {"doc_id": column(part, "doc_id"), "same": same, "fps": values}
+        return {"doc_id": column(part, "doc_id"), "mark": column(part, "mark"), "same": [_words_digest(t) for t in texts], "fps": values}
 
     def shingled(part: pa.RecordBatch) -> dict:
-        values = [np.unique(_hashes(t, ALIKE_SHINGLE)).view("i8") for t in column(part, "text").to_pylist()]
-        return {"doc_id": column(part, "doc_id"), "shingles": values}
-
-    narrow = id_and_text(docs, id_col, text_col)
-    rows = write_table(map_slices(narrow, run, "doc_id long, same binary, fps array<long>"), "views")
-    # texts of the same words are one node, told by its smallest id
-    classes = write_table(rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps"), F.count("*").alias("n")), "classes")
-    seen = classes.where(F.col("first").isNotNull()).select("first", F.posexplode("fps").alias("view", "fp")).select("first", F.col("view").cast("long").alias("view"), "fp")
-    turned = F.xxhash64("view")  # the smallest of ids turned by it is another one in each view
-    nodes = seen.groupBy("view", "fp").agg(F.min(F.col("first").bitwiseXOR(turned)).alias("least"))
-    nodes = write_table(nodes.withColumn("least", F.col("least").bitwiseXOR(turned)), "nodes")
-    equal = seen.join(nodes, ["view", "fp"]).where(F.col("first") != F.col("least")).select(F.col("first").alias("u"), F.col("least").alias("v"))
-    found = write_table(links(nodes), "links")
-    left = found.join(nodes.select("view", F.col("fp").alias("u"), F.col("least").alias("a")), ["view", "u"])
-    near = left.join(nodes.select("view", F.col("fp").alias("v"), F.col("least").alias("b")), ["view", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = equal.unionByName(near).where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = write_table(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = map_slices(narrow.join(asked, "doc_id", "left_semi"), shingled, "doc_id long, shingles array<long>")
-    sets = write_table(sets.distinct(), "shingles")  # an id with several texts is met with each of them
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("s")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("t")), "v")
+        texts = column(part, "text").to_pylist()
+        same = [_words_digest(t) for t in texts]
+        sets = [np.unique(_hashes(t, ALIKE_SHINGLE)).view("i8") for t in texts]
+        return {"node": np.array([int.from_bytes(x[:8], "big", signed=True) for x in same], "i8"), "same": same, "shingles": sets}
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _mark(docs).alias("mark"))
+    rows = write_table(map_slices(narrow, run, "doc_id long, mark long, same binary, fps array<long>"), "views")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    classes = write_table(rows.groupBy("same").agg(least.alias("least"), F.any_value("fps").alias("fps")), "classes")
+    # a node is eight bytes of its class's digest; what meets by chance is told apart by all sixteen below
+    pairs = write_table(proposed(classes.select(_node(F.col("same")).alias("node"), "fps")).distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    marks = classes.select(_node(F.col("same")).alias("node"), "least.mark").join(asked, "node").select("mark").distinct()
+    sets = write_table(map_slices(narrow.join(marks, "mark", "left_semi").select("text"), shingled, "node long, same binary, shingles array<long>").dropDuplicates(["same"]), "shingles")
+    one = lambda n, s: sets.select(F.col("node").alias(n), F.col("same").alias(f"{n}_same"), F.col("shingles").alias(s))
+    both = pairs.join(one("u", "s"), "u").join(one("v", "t"), "v")
     common, sizes = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
-    alike = both.where((10 + ALIKE) * common >= ALIKE * sizes).select("u", "v")
+    alike = both.where((10 + ALIKE) * common >= ALIKE * sizes).select(F.col("u_same").alias("u"), F.col("v_same").alias("v"))
     roots = connected(alike.distinct())
-    known = write_table(classes.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("same", "n", F.coalesce("root", "first").alias("component_id")), "components")
-    total = rows.count()
-    often = F.broadcast(known.where(F.col("n") > max(1000, int(total * SHARE))).select("same", F.col("component_id").alias("often_id"), F.lit(True).alias("often")))  # at most 1 / SHARE rows
-    marked = rows.select("doc_id", "same").join(often, "same", "left")
-    hot = marked.where("often").select("doc_id", F.col("often_id").alias("component_id"))
-    rest = marked.where("often is null").select("doc_id", "same").join(known.select("same", "component_id"), "same").select("doc_id", "component_id")
-    return hot.unionByName(rest)
+    known = classes.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").select("same", "least", F.coalesce("root", "same").alias("component"))
+    return rows.select("doc_id", "mark", "same"), write_table(known, "components")
+
+
+def _node(same: Column) -> Column:
+    """The first eight bytes of a digest as a signed number."""
+    return F.conv(F.hex(F.substring(same, 1, 8)), 16, -10).cast("long")
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_VIEWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (the smallest doc_id, null if there is none) of every row: near copies by their five-word shingles are linked.
+
+    Texts of equal words are one class. Each class has several fingerprints (the same shingles, hashed anew);
+    classes that meet under a Golay key of any of them are proposed, and a pair is linked if its shingle sets
+    have ALIKE tenths in common. Repeated rows stay repeated; null texts have no words, like empty ones.
+    """
+    rows, classes = _copies(docs, shingle, views, id_col, text_col)
+    least = classes.groupBy("component").agg(F.min("least").alias("least")).select("component", F.col("least.doc_id").alias("component_id"))
+    return rows.join(classes.join(least, "component").select("same", "component_id"), "same").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_VIEWS) -> DataFrame:
-    """The rows of docs, all columns, that are the smallest doc_id of their component; of repeated ones a single row.
+def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_VIEWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, all columns, of each component of near copies: that of the smallest doc_id (none: last), of equal ids the one of smallest hash.
 
-    Rows without an id can't be told apart and stay.
+    Rows are told apart by all their columns, so ids may repeat or be null; of rows equal in all columns one stays.
     """
-    found = write_table(near_copies(docs, shingle, views), "copies")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    rows = docs.join(kept.distinct(), "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns) if "text_hash" not in docs.columns else rows.dropDuplicates()
-    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows, classes = _copies(docs, shingle, views, id_col, text_col)
+    kept = classes.groupBy("component").agg(F.min("least").alias("least")).select("least.no_id", F.coalesce("least.doc_id", F.lit(0)).alias("id"), "least.mark")
+    keys = rows.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    times = keys.groupBy("no_id", "id", "mark").agg(F.count("*").alias("times"))
+    kept = write_table(kept.join(times, ["no_id", "id", "mark"]), "kept")
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), _mark(docs).alias("mark"))
+    own = own.select("row", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    found = own.join(kept.where("times = 1"), ["no_id", "id", "mark"], "left_semi")
+    if not kept.where("times > 1").isEmpty():
+        again = own.join(kept.where("times > 1"), ["no_id", "id", "mark"], "left_semi").dropDuplicates(["no_id", "id", "mark"])
+        found = found.unionByName(again)
+    return found.select("row.*")
