@@ -5,17 +5,21 @@ string into symbols. Each merge (u, v), in order, adds its gadget: arcs labelled
 their old target that lacks the arc v, and wherever u and then v could be read, an arc uv leads to v's
 target. What is left at the end accepts exactly the encodings that the merges produce, one a string.
 
-Where an arc leads depends on its label alone, so a state is shared by labels and kept as what it lacks:
-a table label -> the merge that took the arc away. An arc labelled uv exists if v's arc and u's were there
-when uv came; a label's chain of first parts says that. Looked-up transitions are kept in a table.
-
-Encoding reads a piece from left to right. Every prefix has one accepted path, so each place keeps one
-state; the arcs that reach the end give the ids. Decoding emits the arcs' labels.
+Where an arc leads depends on its label alone, so a state is shared by labels, and its transitions are told
+by what it lacks. A merge (u, v) takes from a state the arc v and the arcs of all labels that begin with v
+and come later. Numbered in postorder of the tree of first parts, children in the order of their merges,
+those are neighbours, so a state's table is a sorted list of stretches of label numbers: a transition exists
+if its number lies between two stretches. The tables are compiled once, before anything is read.
+
+Encoding reads a piece from left to right and never goes back: each prefix has one accepted path, so each
+place gets its state and last arc from the one transition that the tables allow to it. The arcs back from the
+end give the ids. Decoding emits the arcs' labels.
 """
 
 import hashlib
 import json
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +30,8 @@ from pyspark.sql import DataFrame
 from .common import column, id_and_text, map_slices
 from .subwords import byte_pieces, word_pieces
 
-#: Pieces in each of a worker's two tables of encoded pieces, and transitions in its table.
-PIECES, TRANSITIONS = 250_000, 400_000
+#: Pieces in each of a worker's two tables of encoded pieces, and characters of the longest piece that they keep.
+PIECES, LONGEST = 250_000, 128
 NEVER = 1 << 60
 
 
@@ -50,7 +54,7 @@ class Automaton:
         self.part = [-1] * size  # a merged label's first part
         self.born = [-1] * size  # and the merge that made it
         self.state = [0] * size  # where arcs of this label lead
-        self.lacks: list[dict[int, int]] = [{}]
+        self.lacks: list[dict[int, int]] = [{}]  # a state's lost arcs, by the merge that took them
         shared = [size]
         for now, (left, right) in enumerate(merges):
             u, v, w = vocab[left], vocab[right], vocab[left + right]
@@ -69,8 +73,8 @@ class Automaton:
             self.lacks[self.state[u]][v] = now
         made = {left + right for left, right in merges}
         self.usable = {t: i for t, i in vocab.items() if self.born[i] >= 0 or t not in made}
-        self.steps: dict[int, bool] = {}
-        self.size = size
+        self._compile(size)
+        del self.lacks
 
     def _has(self, state: int, label: int) -> bool:
         """Whether the state has an arc with this label."""
@@ -83,46 +87,64 @@ class Automaton:
             until, label = self.born[label], self.part[label]
         return True
 
+    def _compile(self, size: int) -> None:
+        """Numbers of labels, and each state's table: where stretches of missing numbers start and end, in turn."""
+        children: dict[int, list[int]] = {}
+        for w in sorted((w for w in range(size) if self.born[w] >= 0), key=self.born.__getitem__):
+            children.setdefault(self.part[w], []).append(w)
+        self.number, lowest, at = [0] * size, [0] * size, 0
+        for root in range(size):
+            if self.born[root] >= 0:
+                continue
+            stack = [(root, iter(children.get(root, ())))]
+            lowest[root] = at
+            while stack:
+                label, rest = stack[-1]
+                child = next(rest, None)
+                if child is None:
+                    self.number[label], at = at, at + 1
+                    stack.pop()
+                else:
+                    lowest[child] = at
+                    stack.append((child, iter(children.get(child, ()))))
+        births = {v: [self.born[w] for w in ws] for v, ws in children.items()}
+
+        def table(lacks: dict[int, int]) -> array:
+            stretches = []
+            for v, now in lacks.items():
+                later = bisect_left(births.get(v, ()), now)
+                stretches.append((lowest[children[v][later]] if later < len(births.get(v, ())) else self.number[v], self.number[v] + 1))
+            bounds = array("I")
+            for start, stop in sorted(stretches):
+                if bounds and start <= bounds[-1]:
+                    bounds[-1] = max(bounds[-1], stop)
+                else:
+                    bounds.extend((start, stop))
+            return bounds
+
+        self.tables = [table(lacks) for lacks in self.lacks]
+
     def step(self, state: int, label: int) -> bool:
-        """The same from the table of transitions."""
-        key = state * self.size + label
-        found = self.steps.get(key)
-        if found is None:
-            if len(self.steps) >= TRANSITIONS:
-                self.steps.clear()
-            found = self.steps[key] = self._has(state, label)
-        return found
+        """Whether the state has an arc with this label, by its table."""
+        return not bisect_right(self.tables[state], self.number[label]) & 1
 
     def encode(self, letters: str) -> list[int]:
-        """The one accepted path over a piece's letters, the last of which carries the suffix.
-
-        Arcs are tried longest first. A place is reached by one path only, so a place that proved a dead
-        end is never tried again, and the work stays within places times the longest label.
-        """
-        n, get, suffix, longest = len(letters), self.usable.get, self.suffix, self.longest
-        ids, places, states, ends, dead = [], [0], [0], [min(n, longest)], set()
-        while places:
-            start, state, end = places[-1], states[-1], ends[-1]
-            while end > start:
-                label = get(letters[start:end]) if end < n else get(letters[start:] + suffix)
-                if label is not None and end not in dead and self.step(state, label):
-                    ids.append(label)
-                    if end == n:
-                        return ids
-                    ends[-1] = end - 1
-                    places.append(end)
-                    states.append(self.state[label])
-                    ends.append(min(n, end + longest))
+        """The one accepted path over a piece's letters, the last of which carries the suffix."""
+        n, get, number, tables, leads = len(letters), self.usable.get, self.number, self.tables, self.state
+        states, starts, arcs = [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):
+                label = get(letters[start:end] if end < n else letters[start:] + self.suffix)
+                if label is not None and not bisect_right(tables[states[start]], number[label]) & 1:
+                    states[end], starts[end], arcs[end] = leads[label], start, label
                     break
-                end -= 1
             else:
-                dead.add(start)
-                places.pop(), states.pop(), ends.pop()
-                if ids:
-                    ids.pop()
-        if n:
-            raise ValueError(f"no path over {letters!r}")
-        return ids
+                raise ValueError(f"no path over {letters!r}")
+        ids, at = [], n
+        while at:
+            ids.append(arcs[at])
+            at = starts[at]
+        return ids[::-1]
 
 
 class Codec:
@@ -188,7 +210,9 @@ class Codec:
                         key = cut[i]
                         if (x := known.get(key)) is None:
                             x = older.get(key)
-                            known[key] = x = self._piece(key) if x is None else x
+                            x = self._piece(key) if x is None else x
+                            if isinstance(key, int) or len(key) <= LONGEST:
+                                known[key] = x
                         ids[i] = x
             out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
