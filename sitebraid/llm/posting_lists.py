@@ -162,6 +162,8 @@ def _packed(df: DataFrame) -> DataFrame:
         for b in batches:
             values = column(b, "v")
             flat = values.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(b.num_rows, -1)
+            # by a power of two, which changes no cosine: squares of very large or small components stay finite
+            flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1, initial=0.0))[1][:, None])
             yield pa.RecordBatch.from_arrays([column(b, "vec_id"), pa.array([r.tobytes() for r in flat], pa.binary())], ["vec_id", "v"])
 
     return df.select("vec_id", "v").mapInArrow(run, "vec_id long, v binary")

@@ -106,12 +106,12 @@ def votes_and_terms(text: str, model: Model) -> tuple[list[int], list[int]]:
 _INSULT_SETS = tuple(frozenset(s) for s in INSULTS)
 
 
-def _surprise(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+def _surprise(toxic: Column, clean: Column, share: float) -> Column:
     """-log10 of Chernoff's bound on so many toxic rows among a term's rows, if it were as toxic as all."""
     n = toxic + clean
-    q = np.clip(toxic / n, 1e-12, 1 - 1e-12)
-    distance = q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))
-    return np.where(q > share, n * distance / math.log(10), 0.0)
+    q = F.least(F.greatest(toxic / n, F.lit(1e-12)), F.lit(1 - 1e-12))
+    distance = q * F.log(q / F.lit(share)) + (1 - q) * F.log((1 - q) / F.lit(1 - share))
+    return F.when(q > share, n * distance / math.log(10)).otherwise(0.0)
 
 
 def mine(sample: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
@@ -140,20 +140,11 @@ def mine(sample: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
     if not rates or rates >= 1:
         return {}, {}
     sums = sample.mapInArrow(count, "kind int, term string, clean long, toxic long").groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    q, n = F.col("toxic") / (F.col("clean") + F.col("toxic")), F.col("clean") + F.col("toxic")
-    # only terms that are nearly always toxic are worth a place; bounded by MOST_TERMS of each kind
-    strong = sums.where((F.col("toxic") >= 3) & (q >= PURE)).withColumn("weight", n * q)
-    picked = [strong.where(F.col("kind") == k).orderBy(F.desc("weight"), "term").limit(4 * MOST_TERMS).collect() for k in (0, 1)]
-    found = []
-    for rows in picked:
-        kept = {}
-        if rows:
-            surprise = _surprise(np.array([r["toxic"] for r in rows], float), np.array([r["clean"] for r in rows], float), float(rates))
-            for r, s in sorted(zip(rows, surprise, strict=True), key=lambda x: (-x[1], x[0]["term"])):
-                if s >= SURPRISE and len(kept) < MOST_TERMS:
-                    kept[r["term"]] = len(kept)
-        found.append(kept)
-    return found[0], found[1]
+    pure = F.col("toxic") / (F.col("clean") + F.col("toxic")) >= PURE
+    strong = sums.where((F.col("toxic") >= 3) & pure).withColumn("surprise", F.round(_surprise(F.col("toxic"), F.col("clean"), float(rates)), 6)).where(F.col("surprise") >= SURPRISE)
+    # every term is ranked; the most telling MOST_TERMS of each kind come to the driver
+    found = [strong.where(F.col("kind") == k).orderBy(F.desc("surprise"), "term").limit(MOST_TERMS).collect() for k in (0, 1)]
+    return tuple({r["term"]: i for i, r in enumerate(rows)} for rows in found)
 
 
 class LabelModel:
@@ -232,11 +223,12 @@ def train_linear(features: np.ndarray, target: np.ndarray) -> tuple[np.ndarray,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
-    """text, toxic of at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled training rows, one row a text."""
+    """text, toxic of at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled training ids: one row an id (the text of smallest hash, where it has several) and a text."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & training)
     parts = [usable.where(F.col("toxic") == c).groupBy("doc_id", "toxic").count().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     picked = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "toxic"))  # bounded by the two sizes
-    return id_and_text(docs).join(picked, "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"])
+    met = id_and_text(docs).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return met.select("text", "toxic").dropDuplicates(["text", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
