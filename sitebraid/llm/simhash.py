@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
 COPY_SHINGLE, COPY_VIEWS = 2, 10
 #: Two texts are near copies if their sets of shingles of so many words have at least ALIKE tenths of their union in common.
 ALIKE_SHINGLE, ALIKE = 5, 8
-#: Members of a key before it with which each is proposed, besides the key's first.
-BEFORE = 3
+#: Members of a key before it with which each is proposed, besides the key's first: all pairs of up to three, a chain and a star of more.
+BEFORE = 1
 
 
 def several_keys(values: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
