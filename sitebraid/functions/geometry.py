@@ -74,7 +74,7 @@ def vertex_key(p: Column, tolerance: float = 0.001) -> Column:
     return F.concat_ws("|", *(quantize(p[c], tolerance).cast("string") for c in ("x", "y", "z")))
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """use(value) with value computed once: lambdas of higher-order functions bind, plain columns are pasted in again."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -85,7 +85,7 @@ def _least_rotation(keys: Column) -> Column:
     turn = lambda i: F.array_join(F.concat(F.slice(keys, i + 1, n), F.slice(keys, F.lit(1), i)), ";")
     least = F.array_min(F.transform(keys, lambda k: F.concat(k, F.lit(";"))))
     starts = lambda low: F.filter(F.transform(keys, lambda k, i: F.when(F.concat(k, F.lit(";")) == low, i)), lambda i: i.isNotNull())
-    return _bound(least, lambda low: F.array_min(F.transform(starts(low), turn)))
+    return bound(least, lambda low: F.array_min(F.transform(starts(low), turn)))
 
 
 def ring_key(ring: Column, tolerance: float = 0.001) -> Column:
@@ -93,9 +93,9 @@ def ring_key(ring: Column, tolerance: float = 0.001) -> Column:
 
     def of(keys: Column) -> Column:
         open_ = F.when((F.size(keys) > 1) & (F.get(keys, F.lit(0)) == F.get(keys, F.size(keys) - 1)), F.slice(keys, F.lit(1), F.size(keys) - 1)).otherwise(keys)
-        return _bound(open_, lambda k: F.when(F.size(k) > 0, F.least(_least_rotation(k), _bound(F.reverse(k), _least_rotation))).otherwise(F.lit("")))
+        return bound(open_, lambda k: F.when(F.size(k) > 0, F.least(_least_rotation(k), bound(F.reverse(k), _least_rotation))).otherwise(F.lit("")))
 
-    return _bound(F.transform(ring, lambda p: vertex_key(p, tolerance)), of)
+    return bound(F.transform(ring, lambda p: vertex_key(p, tolerance)), of)
 
 
 def surface_key(outer: Column, inners: Column, tolerance: float = 0.001) -> Column:
@@ -169,3 +169,70 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
         return F.when((a["y"] > y) != (b["y"] > y), x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(F.lit(False))
 
     return F.when(n >= 3, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), lambda acc, i: acc != crosses(i))).otherwise(F.lit(False))
+
+
+def between(a: Column, b: Column, t: Column) -> Column:
+    """Linear interpolation."""
+    return a + (b - a) * t
+
+
+def within(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def kept_holes(inners: Column, threshold: Column) -> Column:
+    """Holes at least as large as threshold; all of them where it isn't positive."""
+    return F.when(threshold > 0, F.filter(inners, lambda r: F.abs(twice_area(r)) / 2.0 >= threshold)).otherwise(inners)
+
+
+def ring_middle(ring: Column) -> Column:
+    """struct<x,y>: the centroid of a 2D ring without closing point; null without an area."""
+    n, area = F.size(ring), twice_area(ring)
+    cross = lambda i: _at(ring, i)["x"] * _at(ring, (i + 1) % n)["y"] - _at(ring, (i + 1) % n)["x"] * _at(ring, i)["y"]
+    total = lambda c: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + (_at(ring, i)[c] + _at(ring, (i + 1) % n)[c]) * cross(i))
+    return F.when(F.abs(area) > 1e-9, F.struct((total("x") / (area * 3.0)).alias("x"), (total("y") / (area * 3.0)).alias("y")))
+
+
+def usable_holes(outer: Column, inners: Column, tolerance: float, vertex: float = 0.001) -> Column:
+    """Holes of a 2D ring that are large enough and whose centroid isn't outside it."""
+    least = max(tolerance * tolerance * 16.0, vertex * vertex * 4.0)
+
+    def good(r: Column) -> Column:
+        return bound(ring_middle(r), lambda m: F.coalesce((F.abs(twice_area(r)) / 2.0 > least) & point_in_ring(m["x"], m["y"], outer), F.lit(False)))
+
+    return F.filter(inners, good)
+
+
+def boundary(outer: Column, inners: Column) -> Column:
+    """struct<outer,inners>: the outer ring counter-clockwise, holes clockwise."""
+    turned = lambda r, sign: F.when(twice_area(r) * sign < 0, F.reverse(r)).otherwise(r)
+    return F.struct(turned(outer, 1.0).alias("outer"), F.transform(inners, lambda r: turned(r, -1.0)).alias("inners"))
+
+
+def coordinates(ring: Column, name: str) -> Column:
+    """One coordinate of a ring's points."""
+    return F.transform(ring, lambda p: p[name])
+
+
+def longest_edge_middle(ring: Column) -> Column:
+    """struct<x,y,z>: the middle of a 3D ring's longest edge, of equal ones the first; null for fewer than two points."""
+    n = F.size(ring)
+
+    def edge(i: Column) -> Column:
+        a, b = _at(ring, i), _at(ring, (i + 1) % n)
+        square = sum(((b[c] - a[c]) * (b[c] - a[c]) for c in "yz"), (b["x"] - a["x"]) * (b["x"] - a["x"]))
+        return F.struct((-square).alias("order"), i.alias("i"), F.struct(*(((a[c] + b[c]) / 2.0).alias(c) for c in "xyz")).alias("middle"))
+
+    return F.when(n >= 2, F.array_min(F.transform(F.sequence(F.lit(0), n - 1), edge))["middle"])
+
+
+def usable(ring: Column, tolerance: float) -> Column:
+    """Whether a 3D face is larger than tolerance: its box's diagonal, and its area than the square of it."""
+
+    def size(r: Column) -> Column:
+        spans = [F.array_max(v) - F.array_min(v) for v in (coordinates(r, c) for c in "xyz")]
+        area = lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]) / 2.0
+        wide = F.sqrt(spans[0] * spans[0] + spans[1] * spans[1] + spans[2] * spans[2]) > tolerance
+        return wide & bound(newell(r), lambda v: area(v) > tolerance * tolerance)
+
+    return F.coalesce(bound(ring, size), F.lit(False))

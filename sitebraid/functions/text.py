@@ -99,3 +99,13 @@ def query_parameters(query: Column) -> Column:
     last = entries
     keep = F.filter(F.transform(last, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i"))), lambda e: ~F.exists(F.slice(F.transform(last, lambda x: x["key"]), e["i"] + 2, F.size(last)), lambda k: k == e["key"]))
     return F.map_from_entries(F.transform(keep, lambda e: F.struct(e["key"], e["value"])))
+
+
+def host_label(url: Column) -> Column:
+    """The host of an absolute address; null for anything else."""
+    return F.nullif(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+
+
+def cache_file(url: Column, mime: Column) -> Column:
+    """The name a downloaded image or coverage is kept under: its request's SHA-256 and the extension of its type."""
+    return F.concat(F.sha2(url, 256), extension_of(mime))

@@ -52,20 +52,22 @@ def best_srs(df: DataFrame, by: tuple[str, ...], text: str, order: str) -> DataF
     return best.select(*by, "b.srs", "b.rank")
 
 
-def inherited(nodes: DataFrame, depth: int = 16) -> DataFrame:
+def inherited(nodes: DataFrame) -> DataFrame:
     """node_id, name, srs_list of a layer tree (node_id, parent_id, name, srs): each layer's systems follow its parents', distinct.
 
-    Levels are joined one after the other, so a tree of any breadth is never in one task; deeper nodes than depth are left out.
+    Levels are joined one after the other until one is empty, so neither breadth nor depth has a bound; each is
+    kept while the next is made from it. More levels than nodes mean a cycle, which is an error.
     """
     own = nodes.select("node_id", "parent_id", "name", "srs")
-    level = own.where(F.col("parent_id").isNull()).select("node_id", "name", F.array_distinct(F.coalesce("srs", F.expr("cast(array() as array<string>)"))).alias("srs_list"))
-    out = level
-    for _ in range(depth):
+    none = F.expr("cast(array() as array<string>)")
+    level = own.where(F.col("parent_id").isNull()).select("node_id", "name", F.array_distinct(F.coalesce("srs", none)).alias("srs_list")).persist()
+    out, levels, most = level, 1, own.count()
+    while not level.isEmpty():
+        if levels > most:
+            raise ValueError("the layer tree has a cycle")
         above = level.select(F.col("node_id").alias("parent_id"), F.col("srs_list").alias("above"))
-        level = own.join(above, "parent_id").select("node_id", "name", F.array_distinct(F.concat("above", F.coalesce("srs", F.expr("cast(array() as array<string>)")))).alias("srs_list"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+        level = own.join(above, "parent_id").select("node_id", "name", F.array_distinct(F.concat("above", F.coalesce("srs", none))).alias("srs_list")).persist()
+        out, levels = out.unionByName(level), levels + 1
     return out
 
 

@@ -54,9 +54,38 @@ def from_json(text: Column) -> Column:
     return F.when(F.coalesce(F.trim(parsed["resolvedSrs"]) != "", F.lit(False)), parsed)
 
 
+#: Ranges that a layer's features are numbered in.
+RANGES = 64
+
+
 def tree_paths(features: DataFrame, layers: DataFrame, layer: str, sequence: str) -> DataFrame:
-    """Features of the requested layers (layer_index, name; case ignored) with their place in each layer."""
+    """Features of the requested layers (layer_index, name; case ignored) with their place in each layer, by a numeric sequence.
+
+    A layer is cut into ranges of the sequence at its quantiles; places are counted in each range and moved by
+    the sizes of those before it, so a layer that holds most features is spread over tasks.
+    """
     from pyspark.sql import Window as W
 
     met = features.join(layers.select("layer_index", F.upper("name").alias("_key")), F.upper(F.col(layer)) == F.col("_key")).drop("_key")
-    return met.withColumn("feature_index", F.row_number().over(W.partitionBy("layer_index").orderBy(sequence)) - 1)
+    cuts = met.groupBy("layer_index").agg(F.percentile_approx(sequence, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+    dealt = met.join(F.broadcast(cuts), "layer_index").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(sequence)))).drop("_cuts")  # a row a layer
+    sizes = dealt.groupBy("layer_index", "_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("layer_index", "_range", (F.sum("_n").over(W.partitionBy("layer_index").orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("layer_index", "_range").orderBy(sequence)) - 1
+    numbered = dealt.withColumn("_place", place).join(F.broadcast(before), ["layer_index", "_range"])  # RANGES rows a layer
+    return numbered.withColumn("feature_index", (F.col("_place") + F.col("_before")).cast("int")).drop("_range", "_place", "_before")
+
+
+def save(contexts: DataFrame, path: str, key: str = "name", text: str = "context") -> None:
+    """Keeps named contexts (JSON) as a table."""
+    contexts.select(F.col(key).alias("name"), F.col(text).alias("context")).write.mode("overwrite").parquet(path)
+
+
+def restore(spark, path: str) -> DataFrame:
+    """name, context (parsed; null where the kept text is no context) of a table that save wrote."""
+    return spark.read.schema("name string, context string").parquet(path).select("name", from_json(F.col("context")).alias("context"))
+
+
+def localising_offset(points: DataFrame, by: tuple[str, ...], x: str = "x", y: str = "y") -> DataFrame:
+    """The lowest x and y of each group, 0 where it has none: what local coordinates are moved by."""
+    return points.groupBy(*by).agg(F.coalesce(F.min(x), F.lit(0.0)).alias("offset_x"), F.coalesce(F.min(y), F.lit(0.0)).alias("offset_y"), F.count("*").alias("points"))

@@ -19,14 +19,14 @@ def mass(ring: Column, tags: Column, ground: Column, tolerance: float = 0.01) ->
 
 
 def unit(v: Column) -> Column:
-    n = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"])
-    return F.when(n > 1e-30, F.struct(*((v[c] / n).alias(c) for c in "xyz")))
+    size = lambda w: F.sqrt(w["x"] * w["x"] + w["y"] * w["y"] + w["z"] * w["z"])
+    return g.bound(v, lambda w: g.bound(size(w), lambda n: F.when(n > 1e-30, F.struct(*((w[c] / n).alias(c) for c in "xyz")))))
 
 
 def farthest_from_plane(ring: Column) -> Column:
     """The largest distance of a ring's points from the plane through its middle along its normal."""
-    n, c = unit(g.newell(ring)), _mean(ring)
-    return F.array_max(F.transform(ring, lambda p: F.abs(sum(((p[k] - c[k]) * n[k] for k in "yz"), (p["x"] - c["x"]) * n["x"]))))
+    away = lambda r, n, c: F.array_max(F.transform(r, lambda p: F.abs(sum(((p[k] - c[k]) * n[k] for k in "yz"), (p["x"] - c["x"]) * n["x"]))))
+    return g.bound(ring, lambda r: g.bound(unit(g.newell(r)), lambda n: g.bound(_mean(r), lambda c: away(r, n, c))))
 
 
 def _mean(ring: Column) -> Column:

@@ -13,6 +13,8 @@ ROAD_WIDTHS = {"motorway": 18.0, "trunk": 16.0, "primary": 14.0, "secondary": 12
 OTHER_ROAD = 8.0
 WATER_KINDS = ("river", "canal", "lake", "pond", "reservoir")
 RAILS = ("rail", "light_rail", "tram", "narrow_gauge")
+RAIL_WIDTHS = {"rail": 5.0, "light_rail": 4.0, "tram": 3.5, "subway": 4.5, "narrow_gauge": 3.5}
+OTHER_RAIL, LEAST_RAIL = 4.0, 3.0
 STOREY, LEAST_HEIGHT = 3.0, 4.0
 
 
@@ -143,3 +145,32 @@ def combined(box: Column, wanted: dict[str, Column]) -> Column:
     """Whether one request serves all wanted categories: more than one, no water, and a small site."""
     count = sum((w.cast("int") for w in wanted.values()), F.lit(0))
     return ~wanted["water"] & (count > 1) & (F.greatest(box["max_x"] - box["min_x"], F.lit(0.0)) <= requests.COMBINED) & (F.greatest(box["max_y"] - box["min_y"], F.lit(0.0)) <= requests.COMBINED)
+
+
+def rail_width(tags: Column) -> Column:
+    """Metres: a tagged width (3 at least), else the kind's."""
+    by_kind = F.coalesce(*(F.when(_tag(tags, "railway") == kind, F.lit(w)) for kind, w in RAIL_WIDTHS.items()), F.lit(OTHER_RAIL))
+    width = osm_length(_tag(tags, "width"))
+    return F.when(width.isNotNull(), F.greatest(width, F.lit(LEAST_RAIL))).otherwise(by_kind)
+
+
+def plan_elevation(samples: DataFrame, by: tuple[str, ...], absolute: str, z: str) -> DataFrame:
+    """by, elevation shared by all features of a plan: the mean of all their points' samples; 0 for local coordinates or without samples."""
+    return samples.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col(absolute), F.col(z))), F.lit(0.0)).alias("elevation"))
+
+
+def green_faces(areas: DataFrame, rings: str) -> DataFrame:
+    """A row an outer ring of green areas (holes ignored, nothing merged) with its face: the ring closed, four points at least and an area."""
+    from ..functions import geometry as g
+
+    cut = areas.withColumn("ring_index", F.sequence(F.lit(0), F.size(rings) - 1)).where(F.size(rings) > 0)
+    cut = cut.withColumn("_r", F.explode(F.arrays_zip(F.col("ring_index").alias("i"), F.col(rings).alias("r")))).withColumn("ring_index", F.col("_r.i")).withColumn("face", g.close(g.without_repeats(F.col("_r.r"), 0.001)))
+    return cut.where((F.size("face") >= 4) & (F.abs(g.twice_area(F.col("face"))) > 1e-9)).drop("_r")
+
+
+def rail_lines(rails: DataFrame, line: str, source: str, target: str, start: Column) -> DataFrame:
+    """Rails as open lines in the target system at height 0; those with a point that has no image, or fewer than two, go."""
+    from .massing import placed_line
+
+    placed = rails.withColumn(line, placed_line(F.col(line), source, target, start)).where(F.size(line) >= 2)
+    return placed.withColumn(line, F.transform(line, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("z"))))

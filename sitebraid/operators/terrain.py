@@ -82,3 +82,41 @@ def sampled(points: DataFrame, cells: DataFrame, rasters: DataFrame, nodata: Col
 def average(sampled_points: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """The mean sampled elevation of each group, 0 without samples."""
     return sampled_points.groupBy(*by).agg(F.coalesce(F.avg("z"), F.lit(0.0)).alias("elevation"), F.count("z").alias("samples"))
+
+
+def placed_elevation(z: Column, absolute: Column, base: Column) -> Column:
+    """A sampled elevation above the shared baseline, or as it is for absolute coordinates."""
+    return F.when(absolute, z).otherwise(z - base)
+
+
+def meshed(cells: DataFrame, sites: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
+    """raster_id, vertex, x, y, z of the meshes of elevation rasters: strided, placed and moved to the baseline.
+
+    cells: raster_id, row, col, z; sites: raster_id, width, height, box, nodata, start (x, y), absolute. The
+    baseline is the lowest cell, 0 for absolute coordinates; nodata lies on it. Rasters of a single row or
+    column give none. Sites are few (a row a raster) and meet the cells in an equi join.
+    """
+    at = cells.join(sites, "raster_id").where((F.col("width") > 1) & (F.col("height") > 1))
+    low = baseline(at.where(~F.col("absolute")), ("raster_id",), F.col("nodata"))
+    kept = downsampled(at, "width", "height", most).join(low, "raster_id", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0.0)))
+    b, zero = F.col("box"), F.lit(0.0)
+    x = b["min_x"] + (b["max_x"] - b["min_x"]) / (F.col("width") - 1) * F.col("col") - F.when(F.col("absolute"), zero).otherwise(F.col("start.x"))
+    y = b["max_y"] - (b["max_y"] - b["min_y"]) / (F.col("height") - 1) * F.col("row") - F.when(F.col("absolute"), zero).otherwise(F.col("start.y"))
+    z = F.when(is_nodata(F.col("z"), F.col("nodata")), zero).otherwise(F.col("z") - F.col("baseline"))
+    across = F.ceil(F.col("width") / stride(F.col("width"), most)).cast("int")
+    return kept.select("raster_id", (F.col("sample_y") * across + F.col("sample_x")).alias("vertex"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def vertex_normals(vertices: DataFrame, quads: DataFrame) -> DataFrame:
+    """raster_id, vertex, normal (unit) of mesh vertices: the sum of the quads' normals around each; quads: raster_id, a, b, c, d."""
+    corner = lambda name: vertices.select("raster_id", F.col("vertex").alias(name), F.struct("x", "y", "z").alias(f"p_{name}"))
+    met = quads
+    for name in "abcd":
+        met = met.join(corner(name), ["raster_id", name])
+    e = lambda p, q, c: F.col(f"p_{q}")[c] - F.col(f"p_{p}")[c]  # noqa: E731  the cross product of both diagonals is twice the quad's normal
+    cross = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+    n = F.struct(*((e("a", "c", i) * e("b", "d", j) - e("a", "c", j) * e("b", "d", i)).alias(k) for k, (i, j) in cross.items()))
+    flat = met.select("raster_id", F.explode(F.array("a", "b", "c", "d")).alias("vertex"), n.alias("n"))
+    summed = flat.groupBy("raster_id", "vertex").agg(*(F.sum(f"n.{c}").alias(c) for c in "xyz"))
+    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return summed.select("raster_id", "vertex", F.when(size > 0, F.struct(*((F.col(c) / size).alias(c) for c in "xyz"))).alias("normal"))

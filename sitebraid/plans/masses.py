@@ -92,8 +92,8 @@ def source_resolution(spark, sf_dir):
 @query(f"""SELECT s_suppkey, CASE WHEN has THEN wanted ELSE first END AS coverage FROM (SELECT s_suppkey, wanted, EXISTS (SELECT 1 FROM {CATALOG} c WHERE c.service=s.service AND c.title=wanted) AS has, (SELECT arg_min(title, seq) FROM {CATALOG} c WHERE c.service=s.service) AS first
  FROM (SELECT s_suppkey, CAST(s_suppkey%8 AS INTEGER) AS service, 'plain '||(SELECT min(p_type) FROM part) AS wanted FROM supplier) s)""")
 def coverage_choice(spark, sf_dir):
-    least = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
-    asked = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 8).cast("int").alias("service"), F.lit(f"plain {least}").alias("wanted"))
+    least = table(spark, sf_dir, "part").agg(F.min("p_type")).scalar()
+    asked = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 8).cast("int").alias("service"), F.concat(F.lit("plain "), least).alias("wanted"))
     return massing.chosen_coverage(asked, layers_of(spark, sf_dir).select("service", "title", "seq"), "service", "wanted", "title", "seq").select("s_suppkey", "coverage")
 
 

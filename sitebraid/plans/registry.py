@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import masses, regions, site, spatial
+from . import masses, regions, service, shapes, site, spatial
 
-MODULES = (spatial, site, regions, masses)
+MODULES = (spatial, site, regions, masses, service, shapes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,30 +180,30 @@ def elevation_baseline_first(spark, sf_dir):
     return terrain.first_baseline(e, "user_id", "value", "event_id").select("user_id", srs.whole(F.col("value"), 100.0).alias("value_c"))
 
 
-_PAIR = f"(SELECT s_suppkey, {LON.format(k='s_suppkey')} AS x, {LAT.format(k='s_suppkey')} AS y, CAST(s_suppkey%5 AS DOUBLE)*CAST(0.001 AS DOUBLE) AS o FROM supplier)"
-_PAIR2 = f"(SELECT *, greatest(0, least(x+CAST(0.002 AS DOUBLE), x+o+CAST(0.002 AS DOUBLE)) - greatest(x, x+o)) AS w, greatest(0, least(y+CAST(0.002 AS DOUBLE), y+o/2+CAST(0.002 AS DOUBLE)) - greatest(y, y+o/2)) AS h FROM {_PAIR})"
+#: Boxes of side 2048 at whole numbers, the second moved by 1024 * (k % 5) and half of that: their edges meet exactly at k % 5 = 2.
+_PAIR = "(SELECT s_suppkey, s_suppkey*37%1000 AS x, s_suppkey*61%1000 AS y, s_suppkey%5*1024 AS o FROM supplier)"
+_PAIR2 = f"(SELECT *, greatest(0, least(x, x+o) + 2048 - greatest(x, x+o)) AS w, greatest(0, least(y, y+o//2) + 2048 - greatest(y, y+o//2)) AS h FROM {_PAIR})"
 
 
 def _pair(spark, sf_dir):
-    lon, lat = lon_lat(F.col("s_suppkey"))
-    o = (F.col("s_suppkey") % 5).cast("double") * d(0.001)
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", lon.alias("x"), lat.alias("y"), o.alias("o"))
-    side = lambda x, y: F.struct(x.alias("min_x"), y.alias("min_y"), (x + d(0.002)).alias("max_x"), (y + d(0.002)).alias("max_y"))
-    return s.select("s_suppkey", side(F.col("x"), F.col("y")).alias("a"), side(F.col("x") + F.col("o"), F.col("y") + F.col("o") / 2).alias("b"))
+    k = F.col("s_suppkey")
+    x, y, o = (k * 37 % 1000).cast("double"), (k * 61 % 1000).cast("double"), (k % 5 * 1024).cast("double")
+    side = lambda x, y: F.struct(x.alias("min_x"), y.alias("min_y"), (x + d(2048)).alias("max_x"), (y + d(2048)).alias("max_y"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", side(x, y).alias("a"), side(x + o, y + o / 2).alias("b"))
 
 
-@query(f"SELECT s_suppkey, CAST(floor(w*h/CAST(0.000004 AS DOUBLE)*1000+0.5) AS BIGINT) AS ratio_k, s_suppkey%5 <= 2 AS meet FROM {_PAIR2}")
+@query(f"SELECT s_suppkey, CAST(floor(CAST(w*h AS DOUBLE)/4194304*1000+0.5) AS BIGINT) AS ratio_k, NOT (x+2048 < x+o OR y+2048 < y+o//2) AS meet FROM {_PAIR2}")
 def bbox_intersection_ratio(spark, sf_dir):
-    return _pair(spark, sf_dir).select("s_suppkey", srs.whole(raster.overlap(F.col("a"), F.col("b"))).alias("ratio_k"), (g.boxes_meet(F.col("a"), F.col("b")) & (F.col("s_suppkey") % 5 <= 2)).alias("meet"))
+    return _pair(spark, sf_dir).select("s_suppkey", srs.whole(raster.overlap(F.col("a"), F.col("b"))).alias("ratio_k"), g.boxes_meet(F.col("a"), F.col("b")).alias("meet"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey%5 WHEN 0 THEN 0 WHEN 1 THEN 500 END AS u0, CASE s_suppkey%5 WHEN 0 THEN 1000 WHEN 1 THEN 1000 END AS v1 FROM supplier")
+@query(f"SELECT s_suppkey, CASE WHEN w*h=4194304 THEN 0 WHEN w*h>0 THEN CAST(o*1000 AS BIGINT)//2048 END AS u0, CASE WHEN w*h>0 THEN 1000 END AS v1, CASE WHEN w*h=4194304 THEN 0 WHEN w*h>0 THEN CAST(o//2*1000 AS BIGINT)//2048 END AS v0 FROM {_PAIR2}")
 def geotiff_clip_uv(spark, sf_dir):
-    c = _pair(spark, sf_dir).select("s_suppkey", F.when(F.col("s_suppkey") % 5 != 2, raster.clip_window(F.col("a"), F.col("b"))).alias("c"))
-    return c.select("s_suppkey", srs.whole(F.col("c.u0")).alias("u0"), srs.whole(F.col("c.v1")).alias("v1"))
+    c = _pair(spark, sf_dir).select("s_suppkey", raster.clip_window(F.col("a"), F.col("b")).alias("c"))
+    return c.select("s_suppkey", *(srs.whole(F.col(f"c.{n}")).alias(n) for n in ("u0", "v1", "v0")))
 
 
-@query("""SELECT s_suppkey, s_suppkey*1000 AS x0, 5500000000 - (100+s_suppkey)*500*CASE WHEN s_suppkey%2=0 THEN 1 ELSE 1 END AS y0, CASE WHEN s_suppkey%7=0 THEN NULL ELSE s_suppkey*1000+200*500 END AS affine_x1, (20000+s_suppkey)*CAST(2000 AS BIGINT) > 40000000 OR s_suppkey*1000000 > 209715200 AS large FROM supplier""")
+@query("""SELECT s_suppkey, s_suppkey*1000 AS x0, 5500000000 - (100+s_suppkey)*500 AS y0, CASE WHEN s_suppkey%7=0 THEN NULL ELSE s_suppkey*1000+200*500 END AS affine_x1, (20000+s_suppkey)*CAST(2000 AS BIGINT) > 40000000 OR s_suppkey*1000000 > 209715200 AS large FROM supplier""")
 def geotiff_bbox(spark, sf_dir):
     k = F.col("s_suppkey")
     w, h = F.lit(200), (k + 100).cast("int")
@@ -272,15 +272,17 @@ def quantize_rint(spark, sf_dir):
 
 def _faces(spark, sf_dir):
     """Faces of boxes, an order each: line 1..6 gives a side of a cube, repeated sides start at another vertex."""
-    k, side = F.col("l_orderkey"), (F.col("l_partkey") % 6).cast("int")
-    corner = lambda x, y, z: F.struct((k.cast("double") + x).alias("x"), d(y).alias("y"), d(z).alias("z"))
+    k, side, turn = F.col("l_orderkey"), (F.col("l_partkey") % 6).cast("int"), (F.col("l_suppkey") % 4).cast("int")
+    corner = lambda x, y, z: F.struct(d(x).alias("x"), d(y).alias("y"), d(z).alias("z"))
     cubes = [((0, 0, 0), (0, 1, 0), (1, 1, 0), (1, 0, 0)), ((0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)), ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1)), ((0, 1, 0), (0, 1, 1), (1, 1, 1), (1, 1, 0)), ((0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 1, 0)), ((1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 0, 1))]
-    ring = None
-    for i, c in enumerate(cubes):
-        ring = (F.when if ring is None else ring.when)(side == i, F.array(*(corner(*p) for p in c)))
-    turn = (F.col("l_suppkey") % 4).cast("int")
-    ring = F.concat(F.slice(ring, turn + 1, F.lit(4)), F.slice(ring, F.lit(1), turn))
-    ring = F.when(F.col("l_linenumber") % 2 == 0, F.reverse(ring)).otherwise(ring)
+    sides = F.array(*(F.array(*(corner(*p) for p in c)) for c in cubes))  # a constant
+    place = lambda i: (F.when(F.col("l_linenumber") % 2 == 0, F.lit(3) - i).otherwise(i) + turn) % 4
+
+    def point(i):
+        p = F.get(F.get(sides, side), place(i))
+        return F.struct((k.cast("double") + p["x"]).alias("x"), p["y"].alias("y"), p["z"].alias("z"))
+
+    ring = F.transform(F.sequence(F.lit(0), F.lit(3)), point)
     return table(spark, sf_dir, "lineitem").select(k.alias("building"), F.col("l_linenumber").alias("line"), side.alias("side"), ring.alias("outer"), F.expr("cast(array() as array<array<struct<x:double,y:double,z:double>>>)").alias("inners"))
 
 
@@ -307,13 +309,13 @@ def shell_components(spark, sf_dir):
     return surfaces.components(surfaces.edges(s, "building", "side"), "building", "side").groupBy("building", "shell").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT building, line, CASE WHEN n_sides=1 THEN false ELSE CASE side WHEN 0 THEN cz<=0 WHEN 1 THEN cz>=1 WHEN 2 THEN cy<=0 WHEN 3 THEN cy>=1 WHEN 4 THEN cx<=0 ELSE cx>=1 END END AS flat, line%2=0 AS reversed FROM (SELECT *, 0.5 AS cx, 0.5 AS cy, 0.5 AS cz, 2 AS n_sides FROM {_FACES})""".replace("CASE WHEN n_sides=1 THEN false ELSE CASE side WHEN 0 THEN cz<=0 WHEN 1 THEN cz>=1 WHEN 2 THEN cy<=0 WHEN 3 THEN cy>=1 WHEN 4 THEN cx<=0 ELSE cx>=1 END END AS flat", "false AS flat"))
+#: The middle of each building's box, and where its faces lie on each axis, in half units.
+_MIDDLES = f"(SELECT building, min(CASE side WHEN 5 THEN 2 ELSE 0 END) + max(CASE side WHEN 4 THEN 0 ELSE 2 END) AS mx, min(CASE side WHEN 3 THEN 2 ELSE 0 END) + max(CASE side WHEN 2 THEN 0 ELSE 2 END) AS my, min(CASE side WHEN 1 THEN 2 ELSE 0 END) + max(CASE side WHEN 0 THEN 0 ELSE 2 END) AS mz FROM {_FACES} GROUP BY building)"
+
+
+@query(f"""SELECT building, line, CASE WHEN away=0 THEN false ELSE (line%2=0) <> (away<0) END AS turned FROM (SELECT f.building, f.line, CASE side WHEN 0 THEN mz WHEN 1 THEN 4-mz WHEN 2 THEN my WHEN 3 THEN 4-my WHEN 4 THEN mx ELSE 4-mx END AS away FROM {_FACES} f JOIN {_MIDDLES} m ON f.building=m.building)""")
 def orient_outward(spark, sf_dir):
-    whole = _faces(spark, sf_dir)
-    k = F.col("building").cast("double")
-    middle = F.struct((k + 0.5).alias("x"), d(0.5).alias("y"), d(0.5).alias("z"))
-    turn = surfaces.outward(g.newell(F.col("outer")), g.centre(F.col("outer")), middle)
-    return whole.select("building", "line", F.lit(False).alias("flat"), turn.alias("reversed"))
+    return surfaces.oriented(_faces(spark, sf_dir), "building").select("building", "line", "turned")
 
 
 @query(f"SELECT building, line FROM {_FACES} f WHERE NOT EXISTS (SELECT 1 FROM {_FACES} j WHERE j.building=f.building AND j.side=f.side AND j.line%3=0)")
@@ -336,7 +338,10 @@ def open_map_edges(spark, sf_dir):
     return rising(table(spark, sf_dir, "events").withColumn("flag", F.coalesce(F.col("value") > 50, F.lit(False))), ("user_id",), "flag", "event_id").select("user_id", "event_id")
 
 
-@query(None)
+@query("""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sec, event_id) AS n FROM (SELECT user_id||'-'||event_type AS key, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id%7=0 AS failed FROM events)),
+ f AS (SELECT key, event_id, n, CASE WHEN failed THEN 'error' ELSE 'store' END AS answer, CASE WHEN NOT failed THEN sec END AS stored FROM r WHERE n=1
+ UNION ALL SELECT r.key, r.event_id, r.n, CASE WHEN r.sec-f.stored <= 43200 THEN 'hit' WHEN NOT r.failed THEN 'store' WHEN r.sec-f.stored <= 324000 THEN 'stale' ELSE 'error' END, CASE WHEN r.sec-f.stored <= 43200 OR r.failed THEN f.stored ELSE r.sec END FROM f JOIN r ON r.key=f.key AND r.n=f.n+1)
+ SELECT key, event_id, answer FROM f""")
 def ttl_cache_hits(spark, sf_dir):
     from ..streaming.selection import cache_answers
 

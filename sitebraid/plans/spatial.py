@@ -42,10 +42,10 @@ def srs_normalize(spark, sf_dir):
 
 
 @query(f"""SELECT p_brand, srs, rank FROM (SELECT p_brand, srs, {_rank('srs')} AS rank, row_number() OVER (PARTITION BY p_brand ORDER BY {_rank('srs')} DESC, p_partkey) AS n
- FROM (SELECT p_brand, p_partkey, {_case('s', 'upper(trim(s))')} AS srs FROM (SELECT p_brand, p_partkey, ({_NAMES})[(p_partkey*7)%12+1] AS s FROM part WHERE p_partkey % 3 = 1))) WHERE n=1""")
+ FROM (SELECT p_brand, p_partkey, {_case('s', 'upper(trim(s))')} AS srs FROM (SELECT p_brand, p_partkey, ({_NAMES})[(p_partkey*7)%12+1] AS s FROM part))) WHERE n=1""")
 def srs_best_rank(spark, sf_dir):
     s = F.element_at(F.array(*map(F.lit, _NAME_LIST)), (F.col("p_partkey") * 7 % 12 + 1).cast("int"))
-    return catalog.best_srs(table(spark, sf_dir, "part").where("p_partkey % 3 = 1").withColumn("s", s), ("p_brand",), "s", "p_partkey")
+    return catalog.best_srs(table(spark, sf_dir, "part").withColumn("s", s), ("p_brand",), "s", "p_partkey")
 
 
 def _utm_sql(lon: str, lat: str, zone: int) -> tuple[str, str]:
@@ -128,8 +128,8 @@ def ctx_json_round_trip(spark, sf_dir):
 
 @query(f"SELECT nation, {_mm('min(lon)', '1e7')} AS x7, {_mm('min(lat)', '1e7')} AS y7, count(*) AS n FROM {POINTS} GROUP BY nation")
 def wfs_localize_offset(spark, sf_dir):
-    p = points(spark, sf_dir).groupBy("nation").agg(F.min("lon").alias("x"), F.min("lat").alias("y"), F.count("*").alias("n"))
-    return p.select("nation", srs.whole(F.col("x"), 1e7).alias("x7"), srs.whole(F.col("y"), 1e7).alias("y7"), "n")
+    p = context.localising_offset(points(spark, sf_dir), ("nation",), "lon", "lat")
+    return p.select("nation", srs.whole(F.col("offset_x"), 1e7).alias("x7"), srs.whole(F.col("offset_y"), 1e7).alias("y7"), F.col("points").alias("n"))
 
 
 @query("""SELECT o_orderkey, layer_index, feature_index FROM (SELECT o_orderkey, layer_index, row_number() OVER (PARTITION BY layer_index ORDER BY o_orderkey) - 1 AS feature_index

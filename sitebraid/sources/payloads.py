@@ -256,3 +256,36 @@ def capabilities(payloads: DataFrame, payload: str = "payload", mode: str = "fai
             yield pd.DataFrame(out, columns=["service", "seq", "node_id", "parent_id", "name", "title", "srs", "box", "version", "get_url"])
 
     return payloads.select(F.col(payload).alias("payload")).mapInPandas(run, LAYERS)
+
+
+def coverage_description(payload: Column) -> Column:
+    """struct<coverage_id,srs,box,axis_x,axis_y,origin,offset_x,offset_y,nodata> of a coverage's description.
+
+    Elements are found by local name at any depth. Without an envelope the load fails; without an origin it is
+    the envelope's upper left corner; offsets default to one east and one south.
+    """
+    at = lambda path: F.nullif(F.trim(F.xpath_string(payload, F.lit(path))), F.lit(""))
+    element = lambda *names: "//*[" + " or ".join(f"local-name()='{n}'" for n in names) + "]"
+    first = lambda *names: f"({element(*names)})[1]"
+    pair = lambda text: F.transform(F.filter(F.split(text, r"\s+"), lambda t: t != ""), lambda t: t.try_cast("double"))
+    envelope = first("Envelope")
+    low, high = (pair(at(f"{envelope}/*[local-name()='{c}']")) for c in ("lowerCorner", "upperCorner"))
+    point = lambda v, x, y: F.struct(F.coalesce(F.get(v, F.lit(0)), x).alias("x"), F.coalesce(F.get(v, F.lit(1)), y).alias("y"))
+    labels = F.filter(F.split(at(f"{envelope}/@axisLabels"), r"\s+"), lambda t: t != "")
+    offset = lambda i: pair(at(f"({element('offsetVector')})[{i}]"))
+    box = F.struct(F.get(low, F.lit(0)).alias("min_x"), F.get(low, F.lit(1)).alias("min_y"), F.get(high, F.lit(0)).alias("max_x"), F.get(high, F.lit(1)).alias("max_y"))
+    made = F.struct(
+        F.coalesce(at(first("CoverageId", "Identifier")), F.lit("")).alias("coverage_id"),
+        F.coalesce(at(f"{envelope}/@srsName"), F.lit("")).alias("srs"),
+        box.alias("box"),
+        F.coalesce(F.get(labels, F.lit(0)), F.lit("x")).alias("axis_x"),
+        F.coalesce(F.get(labels, F.lit(1)), F.lit("y")).alias("axis_y"),
+        point(pair(at(f"{first('origin')}//*[local-name()='pos']")), box["min_x"], box["max_y"]).alias("origin"),
+        point(offset(1), F.lit(1.0), F.lit(0.0)).alias("offset_x"),
+        point(offset(2), F.lit(0.0), F.lit(-1.0)).alias("offset_y"),
+        at(first("nilValue", "NoData", "nodata")).try_cast("double").alias("nodata"),
+    )
+    return F.when(F.xpath_boolean(payload, F.lit(envelope)), made).otherwise(F.raise_error(F.lit("The coverage description has no envelope.")).cast(DESCRIPTION))
+
+
+DESCRIPTION = "struct<coverage_id:string,srs:string,box:struct<min_x:double,min_y:double,max_x:double,max_y:double>,axis_x:string,axis_y:string,origin:struct<x:double,y:double>,offset_x:struct<x:double,y:double>,offset_y:struct<x:double,y:double>,nodata:double>"
