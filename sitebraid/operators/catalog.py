@@ -55,20 +55,20 @@ def best_srs(df: DataFrame, by: tuple[str, ...], text: str, order: str) -> DataF
 def inherited(nodes: DataFrame) -> DataFrame:
     """node_id, name, srs_list of a layer tree (node_id, parent_id, name, srs): each layer's systems follow its parents', distinct.
 
-    Levels are joined one after the other until one is empty, so neither breadth nor depth has a bound; each is
-    kept while the next is made from it. More levels than nodes mean a cycle, which is an error.
+    Each round joins every layer with the one that its list has come up to, so lists reach twice as far up as
+    before: rounds grow with the logarithm of the depth, and no level of the tree meets in one task. Layers
+    below a missing one are left out; a list that never ends is a cycle, which is an error.
     """
-    own = nodes.select("node_id", "parent_id", "name", "srs")
     none = F.expr("cast(array() as array<string>)")
-    level = own.where(F.col("parent_id").isNull()).select("node_id", "name", F.array_distinct(F.coalesce("srs", none)).alias("srs_list")).persist()
-    out, levels, most = level, 1, own.count()
-    while not level.isEmpty():
-        if levels > most:
+    t = nodes.select("node_id", "name", F.col("parent_id").alias("up"), F.array_distinct(F.coalesce("srs", none)).alias("srs_list"))
+    left = t.count().bit_length() + 1
+    while not t.where("up is not null").isEmpty():
+        if not left:
             raise ValueError("the layer tree has a cycle")
-        above = level.select(F.col("node_id").alias("parent_id"), F.col("srs_list").alias("above"))
-        level = own.join(above, "parent_id").select("node_id", "name", F.array_distinct(F.concat("above", F.coalesce("srs", none))).alias("srs_list")).persist()
-        out, levels = out.unionByName(level), levels + 1
-    return out
+        above = t.select(F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("srs_list").alias("above"))
+        met = t.where("up is not null").join(above, "up").select("node_id", "name", F.col("further").alias("up"), F.array_distinct(F.concat("above", "srs_list")).alias("srs_list"))
+        t, left = t.where("up is null").unionByName(met).persist(), left - 1
+    return t.drop("up")
 
 
 def requested_layers(df: DataFrame, label: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
