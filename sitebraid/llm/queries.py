@@ -93,9 +93,32 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of documents from a ledger of bits; native expressions only."""
+    from .quality import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op12_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each benchmark item, term at a time with limited accumulators."""
+    from .lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_segment_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of a language diverge, priced on hash-consed segment trees."""
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op5_attention_lm, op6_posting_lists, op7_simhash_golay, op8_boosted_pii, op9_host_paths, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_syncmer_fingerprints, op2_weak_toxicity, op3_token_files, op4_bin_completion, op5_attention_lm, op6_posting_lists, op7_simhash_golay, op8_boosted_pii, op9_host_paths, op10_bpe_automaton, op11_rule_ledger, op12_accumulators, op13_segment_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import divergence, lexical, quality
+
+    return {"op11_rule_ledger": quality.SQL, "op12_accumulators": lexical.SQL, "op13_segment_trees": divergence.SQL}
