@@ -51,7 +51,7 @@ def counts(rows: DataFrame) -> DataFrame:
         def told() -> Iterator[pa.RecordBatch]:
             for (lang, source), (times, docs) in held.items():
                 keys = list(times)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([source] * len(keys)), pa.array([k.decode() for k in keys]), pa.array(list(times.values()), pa.int64()), pa.array([docs[k] for k in keys], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.string()), pa.array([k.decode() for k in keys], pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([docs[k] for k in keys], pa.int64())], ["lang", "source", "term", "n", "docs"])
             held.clear()
 
         size = 0
@@ -152,7 +152,7 @@ def _priced(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for at in range(0, len(a), PAIRS):
         u, v = a[at : at + PAIRS], b[at : at + PAIRS]
         value, _ = trees.differences(u, v, totals)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(np.minimum(numbers[u], numbers[v])), pa.array(np.maximum(numbers[u], numbers[v])), pa.array(value)], ["lang", "a", "b", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(np.minimum(numbers[u], numbers[v])), pa.array(np.maximum(numbers[u], numbers[v])), pa.array(value)], ["lang", "a", "b", "value"])
 
 
 def audit(docs: DataFrame) -> DataFrame:

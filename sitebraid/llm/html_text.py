@@ -29,11 +29,13 @@ BROADCAST_HOSTS = 10_000
 # How HTML's elements behave, and what names page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+TO_THE_END = frozenset("script style textarea title".split())  # without an end tag they take the rest of the page
+NESTING = frozenset("svg math object template".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dd dt td th pre blockquote figcaption caption".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
-FURNITURE_TAGS = frozenset("nav footer aside form button dialog head".split())
+FURNITURE_TAGS = frozenset("nav footer aside button dialog head".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 FURNITURE = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disqus disclaimer footer gdpr login menu modal nav navbar navigation navi newsletter notice notification overlay pager pagination paywall popup promo promoted promotion related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
 HEADERS = frozenset(["header", "masthead", "topbar", "pageheader"])
@@ -72,11 +74,36 @@ def _kind(tag: str, attributes: str) -> tuple[str, int]:
     return part, int(tag == "header")
 
 
+#: Least characters of paragraphs in a form that holds the page's text rather than controls.
+FORM_TEXT = 140
+
+
 @lru_cache(maxsize=64)
 def _raw_end(tag: str) -> re.Pattern:
     return re.compile("</" + tag, re.IGNORECASE | re.ASCII)
 
 
+@lru_cache(maxsize=64)
+def _raw_tags(tag: str) -> re.Pattern:
+    return re.compile(f"<(/?){tag}(?![a-z0-9-])", re.IGNORECASE | re.ASCII)
+
+
+def _raw_ends(source: str, tag: str) -> dict[int, int]:
+    """Where each hidden element of a tag ends, by where its start tag begins; those that never end are left out.
+
+    Elements that may nest are matched by depth, of the others a further start is where the one before goes on as text.
+    """
+    ends, open_ = {}, []
+    for m in _raw_tags(tag).finditer(source):
+        if not m[1]:
+            if open_ and tag not in NESTING:
+                open_.clear()
+            open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.start()
+    return ends
+
+
 #: Open elements that a start tag may close, by tag.
 _CLOSES = {tag: frozenset(open_ for open_, closers in CLOSED_BY.items() if tag in closers) for tag in frozenset().union(*CLOSED_BY.values())}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -94,7 +121,9 @@ class Page:
         opened: Counter = Counter()  # open elements by tag
         words: list[str] = []
         links = anchor = 0
-        at, pending = 0, 0
+        at, pending, form, forms = 0, 0, 0, 0
+        in_form: list[int] = []  # the form of each block, 0 for none
+        hidden: dict[str, dict[int, int]] = {}
 
         def flush() -> None:
             nonlocal links
@@ -102,6 +131,7 @@ class Page:
                 text = " ".join("".join(words).split())
                 if text:
                     self.blocks.append((pending, text, links))
+                    in_form.append(form if opened["form"] else 0)
                 words.clear()
             links = 0
 
@@ -169,15 +199,25 @@ class Page:
                 continue
             owner, _, furniture, in_header, inside, in_heading = stack[-1]
             if tag in RAW:
-                end = _raw_end(tag).search(source, at)
-                if not end:
-                    break
-                at = end.start()
+                if tag in TO_THE_END:
+                    end = _raw_end(tag).search(source, at)
+                    if not end:
+                        break
+                    at = end.start()
+                else:
+                    if tag not in hidden:
+                        hidden[tag] = _raw_ends(source, tag)
+                    if found.start() not in hidden[tag]:
+                        continue  # never closed: what follows is the page's
+                    at = max(at, hidden[tag][found.start()])
                 stack.append((owner, tag, 2, False, inside, in_heading))
                 opened[tag] += 1
                 continue
             if tag == "a":
                 anchor += 1
+            if tag == "form" and not opened["form"]:
+                forms += 1
+                form = forms
             if tag in BLOCKS:
                 self.tags.append(tag)
                 self.parents.append(owner)
@@ -188,6 +228,18 @@ class Page:
             stack.append((owner, tag, furniture or 2 * (kind == 2 or kind == 1 and not inside), in_header or kind == 1 and inside, inside or tag in ("article", "main"), in_heading or tag in _HEADINGS))
             opened[tag] += 1
         flush()
+        if forms:
+            self._drop_forms(in_form)
+
+    def _drop_forms(self, in_form: list[int]) -> None:
+        """Leaves out the blocks of forms, but for one that is mostly paragraphs and holds more of them than the page around its forms."""
+        prose, whole = Counter(), Counter()
+        for (owner, text, links), f in zip(self.blocks, in_form, strict=True):
+            whole[f] += len(text)
+            if self.tags[owner] in LEAVES and links <= 0.5 * len(text):
+                prose[f] += len(text)
+        kept = {f for f in prose if f == 0 or prose[f] >= FORM_TEXT and 2 * prose[f] > whole[f] and prose[f] > prose[0]} | {0}
+        self.blocks = [b for b, f in zip(self.blocks, in_form, strict=True) if f in kept]
 
     def path(self, i: int) -> str:
         """The parts from the top down to an element."""

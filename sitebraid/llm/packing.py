@@ -87,40 +87,57 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
 
 
 def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, effort: int = EFFORT) -> list[tuple[int, ...]]:
-    """Undominated fillings of room from the pieces left, fullest first, larger pieces first among equals."""
+    """Undominated fillings of room from the pieces left, fullest first, larger pieces first among equals.
+
+    A search in depth with its own stack: each step takes one more piece, no larger than the last.
+    """
     sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    left = np.array([counts[s] for s in sizes], "i8").tolist()
+    after = np.concatenate([np.cumsum((counts > 0)[::-1])[::-1], [0]])  # how many lengths from each on are left
     found: dict[tuple[int, ...], int] = {}
-    steps = 0
-
-    def add(chosen: tuple[int, ...], slack: int) -> None:
-        used = {s: chosen.count(s) for s in set(chosen)}
-        for t in used:  # a single larger piece in its place would leave less room
-            if slack and any(counts[x] > used.get(x, 0) for x in range(min(t + slack, len(counts) - 1), t, -1)):
-                return
-        found[chosen] = slack
-
-    def extend(at: int, slack: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        fits = False
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s > slack or counts[s] <= chosen.count(s):
-                continue
-            fits = True
+    full = steps = 0
+
+    def dominated(chosen: tuple[int, ...], slack: int) -> bool:
+        """Whether a single larger piece in the place of a chosen one would leave less room."""
+        used: dict[int, int] = {}
+        for t in chosen:
+            used[t] = used.get(t, 0) + 1
+        for t in used:
+            top = min(t + slack, len(counts) - 1)
+            spent = sum(counts[x] <= n for x, n in used.items() if t < x <= top)
+            if after[t + 1] - after[top + 1] > spent:
+                return True
+        return False
+
+    # a frame: next length to try, room left, the length taken last and how often in a row, whether a piece fitted
+    stack, chosen = [[0, room, -1, 0, False]], []
+    while stack:
+        frame = stack[-1]
+        i, slack, last, run, _ = frame
+        while i < len(sizes) and (sizes[i] > slack or left[i] <= (run if i == last else 0)):
+            i += 1
+        if i < len(sizes):
+            frame[4] = True
             steps += 1
-            if steps > effort or sum(w == 0 for w in found.values()) >= most:
-                break
-            extend(i, slack - s, chosen + (s,))
-        if not fits:
-            add(chosen, slack)
-
-    extend(0, room, ())
+            if steps <= effort and full < most:
+                frame[0] = i + 1
+                chosen.append(sizes[i])
+                stack.append([i, slack - sizes[i], i, run + 1 if i == last else 1, False])
+                continue
+        elif not frame[4]:
+            key = tuple(chosen)
+            if not (slack and dominated(key, slack)):
+                full += slack == 0 and key not in found
+                found[key] = slack
+        stack.pop()
+        if chosen:
+            chosen.pop()
     if not found:  # the search ended early: the greedy filling
-        chosen, slack = (), room
-        for s in sizes:
-            while s <= slack and counts[s] > chosen.count(s):
-                chosen, slack = chosen + (s,), slack - s
-        found[chosen] = slack
+        chosen, slack = [], room
+        for s, n in zip(sizes, left, strict=True):
+            times = min(n, slack // s)
+            chosen, slack = chosen + [s] * times, slack - s * times
+        found[tuple(chosen)] = slack
     return sorted(found, key=lambda c: (found[c], len(c), [-x for x in c]))[:most]
 
 
@@ -220,7 +237,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     table = slots(plan(histogram, capacity, nodes))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(histogram.values()) // PIECES_A_TASK))
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(tasks)).cast("int"))
+    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(tasks)).cast("int"))
     sizes = dealt.groupBy("length", "deal").agg(F.count("*").alias("n"))
     before = sizes.select("length", "deal", (F.sum("n").over(W.partitionBy("length").orderBy("deal")) - F.col("n")).alias("before"))
     order = W.partitionBy("length", "deal").orderBy("doc_id", "piece", "start", "ids_crc32")

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, id_and_text, map_slices, write_table
@@ -203,8 +204,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
 COPY_SHINGLE, COPY_VIEWS = 2, 10
 #: Two texts are near copies if their sets of shingles of so many words have at least ALIKE tenths of their union in common.
 ALIKE_SHINGLE, ALIKE = 5, 8
-#: Members of a key before it with which each is proposed, besides the key's first: all pairs of up to three, a chain and a star of more.
-BEFORE = 1
+#: Members of a key up to which all their pairs are proposed: of Golay keys, and of rare shingles in crowded ones.
+SMALL_KEY, SMALL_SHINGLE = 4, 8
+#: Smallest shingle hashes kept of a text; how many of them, rarest first, are second keys in crowded keys, and of those that more than SMALL_SHINGLE share.
+SKETCH, RARE, COMMON = 64, 12, 4
 
 
 def several_keys(values: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,36 +228,26 @@ def several_keys(values: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _neighbours(keys: np.ndarray, nodes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted rows: each with the BEFORE rows ahead of it in its key and with the key's first."""
-    left, right = [], []
-    for gap in range(1, BEFORE + 1):
-        same = np.flatnonzero(keys[gap:] == keys[:-gap])
+def _neighbours(keys: np.ndarray, nodes: np.ndarray, firsts: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sorted rows: all of a key with at most small rows, else each row with the one ahead of it and the key's first; and the rows of such keys."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.repeat(np.diff(np.append(starts, len(keys))), np.diff(np.append(starts, len(keys))))
+    left, right = [firsts], [nodes]
+    for gap in range(1, small):
+        same = np.flatnonzero((keys[gap:] == keys[:-gap]) & ((size[gap:] <= small) | (gap == 1)))
         left.append(nodes[same])
         right.append(nodes[same + gap])
-    left.append(firsts)
-    right.append(nodes)
     u, v = np.concatenate(left), np.concatenate(right)
-    return u[u != v], v[u != v]
+    return u[u != v], v[u != v], nodes[size > small]
 
 
-def proposed(classes: DataFrame) -> DataFrame:
-    """u < v: pairs of nodes that meet under a key of some view. classes: node (long), fps (a fingerprint a view).
+def _met(keyed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs u < v of the nodes that share a key (key, node), and the nodes of keys with more than small members.
 
-    Rows are sorted by key over all tasks, so a key with very many members is dealt over several; each row is
-    paired with a few rows before it and the first of its key in its task, and the last row of a task with the
-    first one of the next. A key's members stay connected however many they are, and no task holds a key.
+    Rows are sorted by key over all tasks, so a key with very many members is dealt over several: all its members are
+    in a chain, and in each task in a star around the first there. No task holds a key.
     """
 
-    def keyed(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                nodes, fps = column(part, "node").to_numpy(), column(part, "fps").flatten().to_numpy().reshape(part.num_rows, -1)
-                for view in range(fps.shape[1]):
-                    keys, rows = several_keys(np.ascontiguousarray(fps[:, view]), view)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[rows])], ["key", "node"])
-
     def met(batches):
         task = TaskContext.get().partitionId()
         held_keys, held, first = np.zeros(0, "i8"), np.zeros(0, "i8"), None
@@ -270,21 +263,52 @@ def proposed(classes: DataFrame) -> DataFrame:
             if first is not None and len(held_keys):
                 firsts[keys == held_keys[-1]] = first
             ends = [ends[0] if ends else (int(keys[0]), int(nodes[0])), (int(keys[-1]), int(nodes[-1]))]
-            u, v = _neighbours(keys, nodes, firsts)
-            first, keep = firsts[-1], min(BEFORE, len(keys))
+            u, v, crowd = _neighbours(keys, nodes, firsts, small)
+            first, keep = firsts[-1], min(small, len(keys))
             held_keys, held = keys[-keep:], nodes[-keep:]
             if len(u):
                 none = pa.nulls(len(u), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none], ["u", "v", "key", "task"])
+            if len(crowd):
+                crowd = np.unique(crowd)
+                none = pa.nulls(len(crowd), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(crowd), none, none, none], ["u", "v", "key", "task"])
         for side, (key, node) in enumerate(ends):
             yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([side]), pa.array([key]), pa.array([task])], ["u", "v", "key", "task"])
 
-    keys = classes.mapInArrow(keyed, "key long, node long")
-    found = write_table(keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(met, "u long, v long, key long, task long").distinct(), "met")
+    found = write_table(keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(met, "u long, v long, key long, task long").distinct(), "met")
     ends = sorted(tuple(r) for r in found.where("task is not null").select("task", "v", "key", "u").collect())  # two rows a task
     over = [(min(a[3], b[3]), max(a[3], b[3])) for a, b in zip(ends[1::2], ends[2::2]) if a[2] == b[2] and a[3] != b[3]]
-    pairs = found.where("task is null").select("u", "v")
-    return pairs.unionByName(classes.sparkSession.createDataFrame(over, "u long, v long")) if over else pairs
+    plain = found.where("task is null")
+    pairs = plain.where("v is not null").select("u", "v")
+    return pairs.unionByName(keyed.sparkSession.createDataFrame(over, "u long, v long")) if over else pairs, plain.where("v is null").select(F.col("u").alias("node"))
+
+
+def proposed(classes: DataFrame) -> DataFrame:
+    """u < v: pairs of nodes that meet under a key of some view. classes: node (long), fps (a fingerprint a view), sketch (its smallest shingle hashes).
+
+    Of a Golay key with few members all pairs are proposed. The members of a crowded one are chained, and meet again
+    under a second key: those of their sketched shingles that the fewest of all such members share (two at least).
+    Copies have the rare shingles of their text in common, while what a whole family shares tells nothing apart;
+    so pairs grow with the members, and which copies are found doesn't depend on how large the family is.
+    """
+
+    def keyed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                nodes, fps = column(part, "node").to_numpy(), column(part, "fps").flatten().to_numpy().reshape(part.num_rows, -1)
+                for view in range(fps.shape[1]):
+                    keys, rows = several_keys(np.ascontiguousarray(fps[:, view]), view)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[rows])], ["key", "node"])
+
+    pairs, crowd = _met(classes.select("node", "fps").mapInArrow(keyed, "key long, node long"), SMALL_KEY)
+    shingles = classes.select("node", "sketch").join(crowd, "node").select("node", F.explode("sketch").alias("key"))
+    shingles = write_table(shingles, "crowded")
+    common = shingles.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(W.partitionBy("node").orderBy("n", "key"))
+    rare = shingles.join(common, "key").select("node", "key", "n", place.alias("place")).where((F.col("place") <= COMMON) | (F.col("n") <= SMALL_SHINGLE) & (F.col("place") <= RARE))
+    return pairs.unionByName(_met(rare.select("key", "node"), SMALL_SHINGLE)[0])
 
 
 def _mark(docs: DataFrame) -> Column:
@@ -304,7 +328,8 @@ def _copies(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: st
     def run(part: pa.RecordBatch) -> dict:
         texts = column(part, "text").to_pylist()
         values = [np.array(several(t, shingle, views), "u8").view("i8").tolist() for t in texts]
-        return {"doc_id": column(part, "doc_id"), "mark": column(part, "mark"), "same": [_words_digest(t) for t in texts], "fps": values}
+        sketches = [np.unique(_hashes(t, ALIKE_SHINGLE))[:SKETCH].view("i8") for t in texts]
+        return {"doc_id": column(part, "doc_id"), "mark": column(part, "mark"), "same": [_words_digest(t) for t in texts], "fps": values, "sketch": sketches}
 
     def shingled(part: pa.RecordBatch) -> dict:
         texts = column(part, "text").to_pylist()
@@ -313,11 +338,11 @@ def _copies(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: st
         return {"node": np.array([int.from_bytes(x[:8], "big", signed=True) for x in same], "i8"), "same": same, "shingles": sets}
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _mark(docs).alias("mark"))
-    rows = write_table(map_slices(narrow, run, "doc_id long, mark long, same binary, fps array<long>"), "views")
+    rows = write_table(map_slices(narrow, run, "doc_id long, mark long, same binary, fps array<long>, sketch array<long>"), "views")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
-    classes = write_table(rows.groupBy("same").agg(least.alias("least"), F.any_value("fps").alias("fps")), "classes")
+    classes = write_table(rows.groupBy("same").agg(least.alias("least"), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch")), "classes")
     # a node is eight bytes of its class's digest; what meets by chance is told apart by all sixteen below
-    pairs = write_table(proposed(classes.select(_node(F.col("same")).alias("node"), "fps")).distinct(), "pairs")
+    pairs = write_table(proposed(classes.select(_node(F.col("same")).alias("node"), "fps", "sketch")).distinct(), "pairs")
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     marks = classes.select(_node(F.col("same")).alias("node"), "least.mark").join(asked, "node").select("mark").distinct()
     sets = write_table(map_slices(narrow.join(marks, "mark", "left_semi").select("text"), shingled, "node long, same binary, shingles array<long>").dropDuplicates(["same"]), "shingles")
@@ -339,8 +364,8 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_
     """doc_id, component_id (the smallest doc_id, null if there is none) of every row: near copies by their five-word shingles are linked.
 
     Texts of equal words are one class. Each class has several fingerprints (the same shingles, hashed anew);
-    classes that meet under a Golay key of any of them are proposed, and a pair is linked if its shingle sets
-    have ALIKE tenths in common. Repeated rows stay repeated; null texts have no words, like empty ones.
+    classes that meet under a Golay key of any of them are proposed (in a crowded key those that share rare shingles
+    too), and a pair is linked if its shingle sets have ALIKE tenths in common. Repeated rows stay repeated; null texts have no words, like empty ones.
     """
     rows, classes = _copies(docs, shingle, views, id_col, text_col)
     least = classes.groupBy("component").agg(F.min("least").alias("least")).select("component", F.col("least.doc_id").alias("component_id"))

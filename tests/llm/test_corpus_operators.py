@@ -837,7 +837,7 @@ def test_a_hot_key_is_chained_over_tasks(spark):
     from sitebraid.llm.simhash import proposed
     from pyspark.sql import functions as F
 
-    nodes = spark.range(500).select(F.col("id").alias("node"), F.array(F.lit(77).cast("long")).alias("fps"))
+    nodes = spark.range(500).select(F.col("id").alias("node"), F.array(F.lit(77).cast("long")).alias("fps"), F.array(F.lit(5).cast("long"), F.lit(6).cast("long")).alias("sketch"))
     pairs = {(r["u"], r["v"]) for r in proposed(nodes).collect()}
     parent = list(range(500))
     for u, v in sorted(pairs):
