@@ -98,6 +98,34 @@ def ring_key(ring: Column, tolerance: float = 0.001) -> Column:
     return bound(F.transform(ring, lambda p: vertex_key(p, tolerance)), of)
 
 
+def vertex(p: Column, tolerance: float = 0.001) -> Column:
+    """struct<x,y,z>: a 3D point in whole steps of tolerance."""
+    return F.struct(*(quantize(p[c], tolerance).alias(c) for c in "xyz"))
+
+
+def _least_turn(keys: Column) -> Column:
+    """The least rotation of an array; only rotations from a least element can be it."""
+    n = F.size(keys)
+    turn = lambda i: F.concat(F.slice(keys, i + 1, n), F.slice(keys, F.lit(1), i))
+    starts = lambda low: F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(keys, i) == low)
+    return bound(F.array_min(keys), lambda low: F.array_min(F.transform(starts(low), turn)))
+
+
+def ring_form(ring: Column, tolerance: float = 0.001) -> Column:
+    """array<struct<x,y,z>>: what ring_key tells apart, as whole numbers."""
+
+    def of(keys: Column) -> Column:
+        open_ = F.when((F.size(keys) > 1) & (F.get(keys, F.lit(0)) == F.get(keys, F.size(keys) - 1)), F.slice(keys, F.lit(1), F.size(keys) - 1)).otherwise(keys)
+        return bound(open_, lambda k: F.when(F.size(k) > 0, F.least(_least_turn(k), bound(F.reverse(k), _least_turn))).otherwise(k))
+
+    return bound(F.transform(ring, lambda p: vertex(p, tolerance)), of)
+
+
+def surface_form(outer: Column, inners: Column, tolerance: float = 0.001) -> Column:
+    """struct<outer,inners>: what surface_key tells apart, as whole numbers; holes in order."""
+    return F.struct(ring_form(outer, tolerance).alias("outer"), F.array_sort(F.transform(inners, lambda r: ring_form(r, tolerance))).alias("inners"))
+
+
 def surface_key(outer: Column, inners: Column, tolerance: float = 0.001) -> Column:
     """The outer ring's key, then the holes' keys in order, joined by two bars."""
     return F.concat_ws("||", ring_key(outer, tolerance), F.array_join(F.array_sort(F.transform(inners, lambda r: ring_key(r, tolerance))), "||"))

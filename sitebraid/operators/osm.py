@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import requests
 from ..functions.text import osm_double, osm_length
 
@@ -67,8 +68,12 @@ def category(tags: Column, area: Column, line: Column) -> Column:
     """The category of an element; area and line say whether it has a ring or a line.
 
     Buildings come first and are used up even without a ring (null then); the others fall through to the
-    next when their geometry is missing. Elements without tags have none.
+    next when their geometry is missing. Elements without tags have none. What tags is made of is computed once.
     """
+    return g.bound(F.struct(tags.alias("tags"), area.alias("area"), line.alias("line")), lambda e: _category(e["tags"], e["area"], e["line"]))
+
+
+def _category(tags: Column, area: Column, line: Column) -> Column:
     return (
         F.when(tags.isNull() | (F.cardinality(tags) == 0), F.lit(None).cast("string"))
         .when(is_building(tags), F.when(area, F.lit("buildings")))

@@ -92,14 +92,17 @@ CATALOG = """(SELECT p_partkey AS seq, p_size % 7 AS service,
   (['dop20 rgb','Ortho image','cir info','tk25','Building LoD2','bu-core3d','alkis','plain'])[p_partkey%8+1] || ' ' || p_type AS title FROM part)"""
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    """Cells of four rasters of 40 + 10 r columns and 30 + 5 r rows; every 37th cell is nodata (-9999)."""
-    r = spark.range(4).select(F.col("id").cast("int").alias("raster_id"), (F.col("id") * 10 + 40).cast("int").alias("width"), (F.col("id") * 5 + 30).cast("int").alias("height"))
-    cells = r.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a raster a supplier, of 40 + 10 (r % 4) columns and 30 + 5 (r % 4) rows; every 37th cell is nodata (-9999)."""
+    r, kind = F.col("raster_id"), F.col("raster_id") % 4
+    rasters = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") - 1).cast("int").alias("raster_id"), F.col("s_nationkey").cast("int").alias("nation"))
+    rasters = rasters.select(r, (kind * 10 + 40).alias("width"), (kind * 5 + 30).alias("height"), "nation")
+    cells = rasters.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     n = F.col("row") * F.col("width") + F.col("col")
-    return cells.withColumn("z", F.when(n % 37 == 0, d(-9999.0)).otherwise((F.col("row") * 7 + F.col("col") * 3 + F.col("raster_id") * 11).cast("double") % d(101.0) + d(100.0)))
+    z = F.when(n % 37 == 0, d(-9999.0)).otherwise((F.col("row") * 7 + F.col("col") * 3 + r * 11 + F.col("nation") * 5).cast("double") % d(101.0) + d(100.0))
+    return cells.withColumn("z", z).drop("nation")
 
 
-GRID = """(SELECT r AS raster_id, 40+10*r AS width, 30+5*r AS height, y AS "row", x AS col,
-  CASE WHEN (y*(40+10*r)+x) % 37 = 0 THEN CAST(-9999 AS DOUBLE) ELSE CAST((y*7+x*3+r*11) % 101 AS DOUBLE) + CAST(100 AS DOUBLE) END AS z
-  FROM (SELECT r, unnest(range(0, 40+10*r)) AS x FROM (SELECT unnest(range(0,4))::INTEGER AS r)) a, LATERAL (SELECT unnest(range(0, 30+5*a.r)) AS y) b)"""
+GRID = """(SELECT r AS raster_id, w AS width, h AS height, y AS "row", x AS col,
+  CASE WHEN (y*w+x) % 37 = 0 THEN CAST(-9999 AS DOUBLE) ELSE CAST((y*7+x*3+r*11+nation*5) % 101 AS DOUBLE) + CAST(100 AS DOUBLE) END AS z
+  FROM (SELECT *, unnest(range(0, w)) AS x FROM (SELECT *, unnest(range(0, h)) AS y FROM (SELECT CAST(s_suppkey-1 AS INTEGER) AS r, s_nationkey AS nation, CAST(40+10*((s_suppkey-1)%4) AS INTEGER) AS w, CAST(30+5*((s_suppkey-1)%4) AS INTEGER) AS h FROM supplier))))"""

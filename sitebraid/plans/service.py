@@ -146,7 +146,7 @@ def lod2_surfaces(spark, sf_dir):
     return read.select(F.col("source_layer").cast("long").alias("c_custkey"), "surface", "ring", F.col("outer").alias("outer_ring"), F.size("points").alias("n"), F.get("points", F.lit(0))["z"].cast("long").alias("z"), "id", fact("LocalId").alias("local_id"), fact("HeightAboveGround").alias("height"))
 
 
-@query("""SELECT n_nationkey, (['wfs','wms','wms','wcs','wcs'])[seq+1] AS service, (['t'||n_nationkey,NULL,'inner','c'||n_nationkey,NULL])[seq+1] AS name, (['Title','Root','inner','c'||n_nationkey,NULL])[seq+1] AS title, (['EPSG:25832,EPSG:4326','EPSG:3857','EPSG:25833','',''])[seq+1] AS srs, CASE seq WHEN 2 THEN '1' END AS parent_id, CASE seq WHEN 0 THEN n_nationkey WHEN 2 THEN 7 END AS min_x, '2.0.0' AS version, 'http://h'||n_nationkey||'/get' AS get_url FROM nation, (SELECT unnest(range(0,5))::INTEGER AS seq)""")
+@query("""SELECT n_nationkey, (['wfs','wms','wms','wcs'])[seq+1] AS service, (['t'||n_nationkey,NULL,'inner','c'||n_nationkey])[seq+1] AS name, (['Title','Root','inner','c'||n_nationkey])[seq+1] AS title, (['EPSG:25832,EPSG:4326','EPSG:3857','EPSG:25833',''])[seq+1] AS srs, CASE seq WHEN 2 THEN '1' END AS parent_id, CASE seq WHEN 0 THEN n_nationkey WHEN 2 THEN 7 END AS min_x, '2.0.0' AS version, 'http://h'||n_nationkey||'/get' AS get_url FROM nation, (SELECT unnest(range(0,4))::INTEGER AS seq)""")
 def service_descriptions(spark, sf_dir):
     k = F.col("n_nationkey")
     payload = _text("<Caps xmlns='w' xmlns:xlink='x' version='2.0.0'><OperationsMetadata><Operation name='GetFeature'><DCP><HTTP><Get xlink:href='http://h", k, "/get'/></HTTP></DCP></Operation></OperationsMetadata><FeatureTypeList><FeatureType><Name> t", k, " </Name><Title>Title</Title><DefaultCRS>EPSG:25832</DefaultCRS><OtherCRS>EPSG:4326</OtherCRS><OtherCRS>EPSG:25832</OtherCRS><WGS84BoundingBox><LowerCorner>", k, " 50</LowerCorner><UpperCorner>", k + 1, " 51</UpperCorner></WGS84BoundingBox></FeatureType></FeatureTypeList>"

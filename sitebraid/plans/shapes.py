@@ -62,9 +62,9 @@ def rail_lines(spark, sf_dir):
     return r.select("id", F.size("line").alias("n"), srs.whole(first["x"]).alias("x_mm"), srs.whole(first["y"]).alias("y_mm"), first["z"].cast("int").alias("z"))
 
 
-@query(f"SELECT id, CASE railway WHEN 'rail' THEN 5000 WHEN 'subway' THEN 4500 WHEN 'tram' THEN 3500 ELSE 4000 END AS width_mm FROM {TAGGED} WHERE t IN ('click','view')")
+@query(f"SELECT id, CASE railway WHEN 'rail' THEN 5000 WHEN 'subway' THEN 4500 WHEN 'tram' THEN 3500 ELSE 4000 END AS width_mm FROM {TAGGED}")
 def osm_rail_width(spark, sf_dir):
-    return tagged(spark, sf_dir).where("event_type in ('click', 'view')").select("id", srs.whole(osm.rail_width(F.col("tags"))).alias("width_mm"))
+    return tagged(spark, sf_dir).select("id", srs.whole(osm.rail_width(F.col("tags"))).alias("width_mm"))
 
 
 @query(f"SELECT nation, CASE WHEN nation%2=0 THEN CAST(floor(COALESCE(avg(z),0)*100+0.5) AS BIGINT) ELSE 0 END AS z_cm FROM (SELECT p.nation, s.z FROM {POINTS} p LEFT JOIN {_SAMPLED} s ON p.id = s.point_id) GROUP BY nation")
@@ -86,28 +86,35 @@ _LOW = f"(SELECT raster_id, min(z) FILTER (z > 0) AS low FROM {GRID} GROUP BY ra
 @query(f"""SELECT g.raster_id, count(*) AS n, CAST(max((g."row"//sy) * CAST(ceil(width/CAST(sx AS DOUBLE)) AS INTEGER) + g.col//sx) AS BIGINT) AS last_vertex, CAST(sum(10*g.col - CASE WHEN g.raster_id%2=0 THEN 0 ELSE 7 END) AS BIGINT) AS xs, CAST(sum(20*(height-1) - 20*g."row" - CASE WHEN g.raster_id%2=0 THEN 0 ELSE 3 END) AS BIGINT) AS ys, CAST(sum(CASE WHEN z < 0 THEN 0 WHEN g.raster_id%2=0 THEN z ELSE z-low END) AS BIGINT) AS zs
  FROM (SELECT *, CAST(ceil(width/CAST(16 AS DOUBLE)) AS INTEGER) AS sx, CAST(ceil(height/CAST(16 AS DOUBLE)) AS INTEGER) AS sy FROM {GRID}) g JOIN {_LOW} l ON l.raster_id=g.raster_id WHERE g.col%sx=0 AND g."row"%sy=0 GROUP BY g.raster_id""")
 def terrain_meshes(spark, sf_dir):
-    cells = grid(spark)
+    cells = grid(spark, sf_dir)
     box = F.struct(d(0.0).alias("min_x"), d(0.0).alias("min_y"), ((F.col("width") - 1) * 10).cast("double").alias("max_x"), ((F.col("height") - 1) * 20).cast("double").alias("max_y"))
     sites = cells.select("raster_id", "width", "height").distinct().select("raster_id", "width", "height", box.alias("box"), d(-9999.0).alias("nodata"), F.struct(d(7.0).alias("x"), d(3.0).alias("y")).alias("start"), (F.col("raster_id") % 2 == 0).alias("absolute"))
     v = terrain.meshed(cells.select("raster_id", "row", "col", "z"), sites, 16)
     return v.groupBy("raster_id").agg(F.count("*").alias("n"), F.max("vertex").cast("long").alias("last_vertex"), *(F.sum(c).cast("long").alias(f"{c}s") for c in "xyz"))
 
 
-@query("SELECT s AS raster_id, count(*) AS n, 534522 AS x6, 801784 AS y6, -267261 AS z6 FROM (SELECT s, unnest(range(0, s*(s+1))) AS v FROM (SELECT unnest(range(2, 12)) AS s)) GROUP BY s".replace("-267261", "-267261"))
+def _whole6(v: str) -> str:
+    """A part of the normal of the plane z = p x + q y, seen from below as its faces run, in millionths."""
+    return f"CAST(floor({v}/sqrt(p*p+q*q+1)*CAST(1000000 AS DOUBLE)+CAST(0.5 AS DOUBLE)) AS BIGINT)"
+
+
+@query(f"""SELECT raster_id, w*(w+1) AS n, {_whole6('p')} AS x6, {_whole6('q')} AS y6, {_whole6('CAST(-1 AS DOUBLE)')} AS z6 FROM (SELECT CAST(s_suppkey AS BIGINT) AS raster_id, 2+s_suppkey%10 AS w, CAST(s_suppkey%7-3 AS DOUBLE) AS p, CAST(s_nationkey%5 AS DOUBLE) AS q FROM supplier)""")
 def terrain_normals(spark, sf_dir):
-    sizes = spark.range(2, 12).select(F.col("id").cast("int").alias("raster_id"), F.col("id").cast("int").alias("w"), (F.col("id") + 1).cast("int").alias("h"))
+    k = F.col("s_suppkey")
+    p, q = (k % 7 - 3).cast("double"), (F.col("s_nationkey") % 5).cast("double")
+    sizes = table(spark, sf_dir, "supplier").select(k.alias("raster_id"), (k % 10 + 2).cast("int").alias("w"), (k % 10 + 3).cast("int").alias("h"), p.alias("p"), q.alias("q"))
     v = sizes.withColumn("vertex", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)))
     x, y = (F.col("vertex") % F.col("w")).cast("double"), -F.floor(F.col("vertex") / F.col("w")).cast("double")
-    v = v.select("raster_id", "vertex", x.alias("x"), y.alias("y"), (x * 2 + y * 3).alias("z"))
+    v = v.select("raster_id", "vertex", x.alias("x"), y.alias("y"), (x * F.col("p") + y * F.col("q")).alias("z"))
     n = terrain.vertex_normals(v, terrain.faces(sizes, "w", "h").select("raster_id", "a", "b", "c", "d"))
-    r = n.groupBy("raster_id").agg(F.count("*").alias("n"), *(F.round(F.min(f"normal.{c}") * 1e6).cast("int").alias(f"{c}6") for c in "xyz"))
+    r = n.groupBy("raster_id").agg(F.count("*").alias("n"), *(srs.whole(F.min(f"normal.{c}"), 1e6).alias(f"{c}6") for c in "xyz"))
     return r.select(F.col("raster_id").cast("long"), "n", "x6", "y6", "z6")
 
 
 @query("SELECT raster_id, \"row\", col, col*3 AS x, CASE WHEN height > 1 THEN 2*(height-1) - 2*\"row\" END AS y, CASE WHEN z < 0 THEN 0 ELSE CAST(z-50 AS BIGINT) END AS z FROM " + GRID)
 def terrain_vertices(spark, sf_dir):
     box = F.struct(d(0.0).alias("min_x"), d(0.0).alias("min_y"), ((F.col("width") - 1) * 3).cast("double").alias("max_x"), ((F.col("height") - 1) * 2).cast("double").alias("max_y"))
-    v = terrain.vertices(grid(spark).withColumn("box", box), "box", "width", "height", d(-9999.0), d(50.0))
+    v = terrain.vertices(grid(spark, sf_dir).withColumn("box", box), "box", "width", "height", d(-9999.0), d(50.0))
     return v.select("raster_id", "row", "col", F.round("x").cast("int").alias("x"), F.round("y").cast("int").alias("y"), F.col("z").cast("long").alias("z"))
 
 

@@ -131,19 +131,20 @@ def osm_overpass_ql(spark, sf_dir):
 
 @query(f"""SELECT raster_id, count(*) AS n, CAST(sum(CASE WHEN z > 0 THEN z ELSE 0 END) AS BIGINT) AS z_sum, max("col"//sx) AS most_x FROM (SELECT *, CAST(ceil(width/CAST(16 AS DOUBLE)) AS INTEGER) AS sx, CAST(ceil(height/CAST(16 AS DOUBLE)) AS INTEGER) AS sy FROM {GRID}) WHERE "col"%sx=0 AND "row"%sy=0 GROUP BY raster_id""")
 def terrain_downsample(spark, sf_dir):
-    s = terrain.downsampled(grid(spark), "width", "height", 16)
+    s = terrain.downsampled(grid(spark, sf_dir), "width", "height", 16)
     return s.groupBy("raster_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("z") > 0, F.col("z")).otherwise(0.0)).cast("long").alias("z_sum"), F.max("sample_x").alias("most_x"))
 
 
-@query("SELECT s, a, a+1 AS b, a+s+1 AS c, a+s AS d FROM (SELECT s, qy*s+qx AS a FROM (SELECT s, qy, unnest(range(0, s-1)) AS qx FROM (SELECT s, unnest(range(0, s)) AS qy FROM (SELECT unnest(range(2, 12)) AS s))))")
+@query("SELECT k, s, a, a+1 AS b, a+s+1 AS c, a+s AS d FROM (SELECT k, s, qy*s+qx AS a FROM (SELECT k, s, qy, unnest(range(0, s-1)) AS qx FROM (SELECT k, s, unnest(range(0, s)) AS qy FROM (SELECT s_suppkey AS k, 2+s_suppkey%10 AS s FROM supplier))))")
 def terrain_mesh_faces(spark, sf_dir):
-    sizes = spark.range(2, 12).select(F.col("id").cast("int").alias("s"), (F.col("id") + 1).cast("int").alias("h"))
-    return terrain.faces(sizes, "s", "h").select("s", "a", "b", "c", "d")
+    k = F.col("s_suppkey")
+    sizes = table(spark, sf_dir, "supplier").select(k.alias("k"), (k % 10 + 2).cast("int").alias("s"), (k % 10 + 3).cast("int").alias("h"))
+    return terrain.faces(sizes, "s", "h").select("k", "s", "a", "b", "c", "d")
 
 
 @query(f"SELECT raster_id, CAST(COALESCE(min(CASE WHEN abs(z+9999) < 0.001 THEN NULL ELSE z END),0) AS BIGINT) AS baseline FROM {GRID} GROUP BY raster_id")
 def terrain_baseline(spark, sf_dir):
-    return terrain.baseline(grid(spark), ("raster_id",), d(-9999.0)).select("raster_id", F.col("baseline").cast("long").alias("baseline"))
+    return terrain.baseline(grid(spark, sf_dir), ("raster_id",), d(-9999.0)).select("raster_id", F.col("baseline").cast("long").alias("baseline"))
 
 
 def _sample_points(spark, sf_dir):
@@ -152,16 +153,17 @@ def _sample_points(spark, sf_dir):
 
 
 def _sampled(spark, sf_dir):
-    cells = grid(spark)
+    cells = grid(spark, sf_dir)
     box = F.struct(d(8.45).alias("min_x"), d(50.0).alias("min_y"), d(8.75).alias("max_x"), d(50.2).alias("max_y"))
     rasters = cells.select("raster_id", "width", "height").distinct().withColumn("box", box)
     return terrain.sampled(_sample_points(spark, sf_dir), cells, rasters, d(-9999.0))
 
 
-_SAMPLED = f"""(SELECT p.id AS point_id, nation, CASE WHEN a.z > 0 AND b.z > 0 AND c.z > 0 AND e.z > 0 THEN (1-u)*(1-v)*a.z + u*(1-v)*b.z + (1-u)*v*c.z + u*v*e.z END AS z FROM
+_SAMPLED = f"""(SELECT id AS point_id, nation, CASE WHEN a > 0 AND b > 0 AND c > 0 AND e > 0 THEN (1-u)*(1-v)*a + u*(1-v)*b + (1-u)*v*c + u*v*e END AS z FROM
+ (SELECT id, nation, u, v, max(z) FILTER (dr=0 AND dc=0) AS a, max(z) FILTER (dr=0 AND dc=1) AS b, max(z) FILTER (dr=1 AND dc=0) AS c, max(z) FILTER (dr=1 AND dc=1) AS e FROM
+ (SELECT id, nation, u, v, dr, dc, g.z FROM (SELECT *, r0+dr AS y, c0+dc AS x FROM (SELECT *, unnest([0,0,1,1]) AS dr, unnest([0,1,0,1]) AS dc FROM
  (SELECT *, fx-c0 AS u, fy-r0 AS v FROM (SELECT *, least(CAST(floor(fx) AS INTEGER), w-2) AS c0, least(CAST(floor(fy) AS INTEGER), h-2) AS r0 FROM (SELECT *, (lon-CAST(8.45 AS DOUBLE))/(CAST(8.75 AS DOUBLE)-CAST(8.45 AS DOUBLE))*(w-1) AS fx, (CAST(50.2 AS DOUBLE)-lat)/(CAST(50.2 AS DOUBLE)-CAST(50 AS DOUBLE))*(h-1) AS fy
-  FROM (SELECT *, CAST(id%4 AS INTEGER) AS r, CAST(40+10*(id%4) AS INTEGER) AS w, CAST(30+5*(id%4) AS INTEGER) AS h FROM {POINTS}) WHERE lon BETWEEN CAST(8.45 AS DOUBLE) AND CAST(8.75 AS DOUBLE) AND lat BETWEEN CAST(50 AS DOUBLE) AND CAST(50.2 AS DOUBLE)))) p
- JOIN {GRID} a ON a.raster_id=r AND a."row"=r0 AND a."col"=c0 JOIN {GRID} b ON b.raster_id=r AND b."row"=r0 AND b."col"=c0+1 JOIN {GRID} c ON c.raster_id=r AND c."row"=r0+1 AND c."col"=c0 JOIN {GRID} e ON e.raster_id=r AND e."row"=r0+1 AND e."col"=c0+1)"""
+  FROM (SELECT *, CAST(id%4 AS INTEGER) AS r, CAST(40+10*(id%4) AS INTEGER) AS w, CAST(30+5*(id%4) AS INTEGER) AS h FROM {POINTS}) WHERE lon BETWEEN CAST(8.45 AS DOUBLE) AND CAST(8.75 AS DOUBLE) AND lat BETWEEN CAST(50 AS DOUBLE) AND CAST(50.2 AS DOUBLE)))))) p JOIN {GRID} g ON g.raster_id=p.r AND g."row"=p.y AND g.col=p.x) GROUP BY id, nation, u, v))"""
 
 
 @query(f"SELECT p.id AS point_id, {_mm('s.z')} AS z_mm FROM {POINTS} p LEFT JOIN {_SAMPLED} s ON p.id = s.point_id")
@@ -320,7 +322,7 @@ def orient_outward(spark, sf_dir):
 
 @query(f"SELECT building, line FROM {_FACES} f WHERE NOT EXISTS (SELECT 1 FROM {_FACES} j WHERE j.building=f.building AND j.side=f.side AND j.line%3=0)")
 def missing_faces_anti(spark, sf_dir):
-    keyed = _faces(spark, sf_dir).withColumn("key", g.surface_key(F.col("outer"), F.col("inners")))
+    keyed = _faces(spark, sf_dir).withColumn("key", g.surface_form(F.col("outer"), F.col("inners")))
     return surfaces.missing(keyed, keyed.where("line % 3 = 0"), "building", "key").select("building", "line")
 
 

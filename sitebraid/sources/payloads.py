@@ -218,7 +218,7 @@ LAYERS = "service string, seq int, node_id string, parent_id string, name string
 
 
 def capabilities(payloads: DataFrame, payload: str = "payload", mode: str = "failfast") -> DataFrame:
-    """A row a layer, feature type or coverage of service descriptions, with the tree's links and the request address."""
+    """A row a layer, feature type or named coverage of service descriptions, with the tree's links and the request address."""
 
     def box(node: ET.Element):
         for e in node:
@@ -250,6 +250,8 @@ def capabilities(payloads: DataFrame, payload: str = "payload", mode: str = "fai
                 numbers = {e: str(i) for i, e in enumerate(nodes)}
                 for i, e in enumerate(nodes):
                     name = _child_text(e, "CoverageId", "Identifier") if _name(e) == "CoverageSummary" else _child_text(e, "Name")
+                    if _name(e) == "CoverageSummary" and not name:
+                        continue
                     systems = [t for c in e if _name(c) in ("DefaultSRS", "DefaultCRS", "OtherSRS", "OtherCRS", "SRS", "CRS") and c.text for t in c.text.split()]
                     parent = above.get(e)
                     out.append((service[_name(e)], i, numbers[e], numbers.get(parent), name or None, _child_text(e, "Title") or name or None, list(dict.fromkeys(systems)), box(e), root.get("version"), address))

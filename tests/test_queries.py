@@ -46,3 +46,29 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_categories_compile(spark):
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # generated code that is too long fails
+    try:
+        for name in ("osm_category_counts", "diag_osm_status"):
+            assert registry.queries()[name](spark, SMALL).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_forms_tell_apart_what_keys_tell_apart(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sitebraid.functions import geometry as g
+
+    rng = random.Random(5)
+    ring = lambda: [tuple(rng.choice((0.0, 0.0004, 1.0)) for _ in range(3)) for _ in range(rng.randint(1, 4))]
+    rows = [(ring(), [ring() for _ in range(rng.randint(0, 2))]) for _ in range(400)]
+    kind = "array<struct<x:double,y:double,z:double>>"
+    df = spark.createDataFrame(rows, f"outer {kind}, inners array<{kind}>")
+    both = df.select(g.surface_key(F.col("outer"), F.col("inners")).alias("key"), g.surface_form(F.col("outer"), F.col("inners")).alias("form")).distinct()
+    got = [(r["key"], str(r["form"])) for r in both.collect()]
+    assert len(got) == len({k for k, _ in got}) == len({f for _, f in got}) > 50
