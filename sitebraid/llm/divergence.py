@@ -26,6 +26,8 @@ LEAST_DOCUMENTS, LISTED = 30, 50
 SMOOTH, SCALE = 5, 1_000_000_000
 #: Terms of a block, sources of a chunk, pairs of groups walked at once.
 WIDTH, SOURCES, PAIRS = 4096, 48, 64
+#: Languages whose totals are broadcast (two numbers each); those of more meet their terms in a join.
+MOST_LANGS = 50_000
 #: Different terms that a task counts before it hands its counts on.
 COUNTED = 200_000
 #: Octets of a term: letters (A-Z as a-z) and all of other alphabets; every other octet parts terms.
@@ -168,7 +170,8 @@ def audit(docs: DataFrame) -> DataFrame:
     counted = write_table(counts(rows), "counts")
     known = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole")).where(F.col("docs") >= LEAST_DOCUMENTS).select("lang", "term", "whole")
     known = write_table(known, "known")
-    langs = known.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("n")).select("lang", "v", (F.col("n") + SMOOTH * F.col("v")).alias("lang_total"))
+    langs = write_table(known.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("n")).select("lang", "v", (F.col("n") + SMOOTH * F.col("v")).alias("lang_total")), "langs")
+    langs = F.broadcast(langs) if langs.count() <= MOST_LANGS else langs  # a join dealt by lang would keep a language's terms together up to the window
     blocks = F.ceil(F.col("v") / WIDTH)
     dealt = known.join(langs.select("lang", "v"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int"))
     dealt = dealt.withColumn("place", F.row_number().over(W.partitionBy("lang", "block").orderBy(F.desc("whole"), "term")) - 1)
