@@ -23,6 +23,83 @@ def unit(v: Column) -> Column:
     return g.bound(v, lambda w: g.bound(size(w), lambda n: F.when(n > 1e-30, F.struct(*((w[c] / n).alias(c) for c in "xyz")))))
 
 
+#: Within this distance two vertices are one.
+VERTEX = 0.001
+
+
+def cross(a: Column, b: Column) -> Column:
+    """struct<x,y,z>: the cross product of two vectors."""
+    part = lambda i, j: a[i] * b[j] - a[j] * b[i]
+    return F.struct(part("y", "z").alias("x"), part("z", "x").alias("y"), part("x", "y").alias("z"))
+
+
+def fitted_plane(points: Column) -> Column:
+    """struct<origin,normal>: the plane of least squared distances from 3D points, through their middle.
+
+    The normal is the eigenvector of the least eigenvalue of their scatter matrix, in closed form, turned to the side
+    of their ring's own normal; where rounding hides it (points within some 1:3000 of a line), the ring's own normal.
+    Null for fewer than three points and for points on a line.
+    """
+
+    def scatter(r: Column, m: Column) -> Column:
+        total = lambda i, j: F.aggregate(r, F.lit(0.0), lambda acc, p: acc + (p[i] - m[i]) * (p[j] - m[j])) / F.size(r)
+        return F.struct(*(total(*k).alias(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")))
+
+    def least(s: Column) -> Column:
+        """The least eigenvalue of a symmetric matrix."""
+        q = (s["xx"] + s["yy"] + s["zz"]) / 3.0
+
+        def of(b: Column) -> Column:
+            p = F.sqrt((b["x"] * b["x"] + b["y"] * b["y"] + b["z"] * b["z"] + 2.0 * (s["xy"] * s["xy"] + s["xz"] * s["xz"] + s["yz"] * s["yz"])) / 6.0)
+            det = b["x"] * (b["y"] * b["z"] - s["yz"] * s["yz"]) - s["xy"] * (s["xy"] * b["z"] - s["yz"] * s["xz"]) + s["xz"] * (s["xy"] * s["yz"] - b["y"] * s["xz"])
+            turn = lambda size: F.acos(g.within(det / (2.0 * size * size * size), F.lit(-1.0), F.lit(1.0))) / 3.0
+            return g.bound(p, lambda size: F.when(size > 0, b["q"] + 2.0 * size * F.cos(turn(size) + F.lit(2.0943951023931953))).otherwise(b["q"]))
+
+        return g.bound(F.struct(q.alias("q"), *((s[k * 2] - q).alias(k) for k in "xyz")), of)
+
+    def across(s: Column, low: Column) -> Column:
+        """The longest product of two rows of the matrix less the eigenvalue, which is at right angles to all of them."""
+        row = lambda i, j, k: F.struct(i.alias("x"), j.alias("y"), k.alias("z"))
+        rows = F.array(row(s["xx"] - low, s["xy"], s["xz"]), row(s["xy"], s["yy"] - low, s["yz"]), row(s["xz"], s["yz"], s["zz"] - low))
+
+        def longest(r: Column) -> Column:
+            products = F.array(*(cross(F.get(r, F.lit(i)), F.get(r, F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))))
+            best = F.array_max(F.transform(products, lambda v: F.struct((v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]).alias("d"), v.alias("v"))))
+            spread = s["xx"] + s["yy"] + s["zz"]
+            return g.bound(best, lambda b: F.when(b["d"] > 1e-14 * spread * spread * spread * spread, F.struct(*((b["v"][c] / F.sqrt(b["d"])).alias(c) for c in "xyz"))))
+
+        return g.bound(rows, longest)
+
+    def sided(n: Column, v: Column) -> Column:
+        away = F.coalesce(n["x"] * v["x"] + n["y"] * v["y"] + n["z"] * v["z"] < 0, F.lit(False))
+        return F.struct(*(F.when(away, -n[c]).otherwise(n[c]).alias(c) for c in "xyz"))
+
+    def own(r: Column, s: Column) -> Column:
+        clear = lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]) > 1e-9 * (s["xx"] + s["yy"] + s["zz"])
+        return g.bound(g.newell(r), lambda v: F.when(clear(v), unit(v)))
+
+    def plane(r: Column, m: Column) -> Column:
+        normal = g.bound(scatter(r, m), lambda s: g.bound(least(s), lambda low: F.coalesce(across(s, low), own(r, s))))
+        return g.bound(normal, lambda n: F.when(n.isNotNull(), F.struct(m.alias("origin"), g.bound(g.newell(r), lambda v: sided(n, v)).alias("normal"))))
+
+    return F.when(F.size(points) >= 3, g.bound(points, lambda r: g.bound(_mean(r), lambda m: plane(r, m))))
+
+
+def away_from_plane(ring: Column, plane: Column) -> Column:
+    """The largest distance of points from a plane (origin, normal)."""
+    return F.array_max(F.transform(ring, lambda p: F.abs(_height(p, plane))))
+
+
+def onto_plane(ring: Column, plane: Column) -> Column:
+    """Points moved at right angles onto a plane (origin, normal)."""
+    return F.transform(ring, lambda p: g.bound(_height(p, plane), lambda h: F.struct(*((p[c] - plane["normal"][c] * h).alias(c) for c in "xyz"))))
+
+
+def _height(p: Column, plane: Column) -> Column:
+    o, n = plane["origin"], plane["normal"]
+    return (p["x"] - o["x"]) * n["x"] + (p["y"] - o["y"]) * n["y"] + (p["z"] - o["z"]) * n["z"]
+
+
 def farthest_from_plane(ring: Column) -> Column:
     """The largest distance of a ring's points from the plane through its middle along its normal."""
     away = lambda r, n, c: F.array_max(F.transform(r, lambda p: F.abs(sum(((p[k] - c[k]) * n[k] for k in "yz"), (p["x"] - c["x"]) * n["x"]))))

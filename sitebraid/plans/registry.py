@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import masses, regions, service, shapes, site, spatial
+from . import masses, regions, service, shapes, site, solids, spatial
 
-MODULES = (spatial, site, regions, masses, service, shapes)
+MODULES = (spatial, site, regions, masses, service, shapes, solids)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import srs
-from ..operators import osm, surfaces, terrain
+from ..operators import merging, osm, surfaces, terrain
 from .derived import GRID, POINTS, TAGGED, d, grid, points, table, tagged
 from .site import _FACES, _SAMPLED, _faces, _sampled
 from .spatial import _X32, _Y32, _mm
@@ -135,7 +135,7 @@ def building_faces(spark, sf_dir):
 def snapped_vertices(spark, sf_dir):
     c = (F.col("event_id") % 4 * 1000 + F.col("event_id") * 7 % 9).cast("double")
     v = table(spark, sf_dir, "events").select(F.col("user_id").alias("building"), "event_id", c.alias("x"), d(0.0).alias("y"), d(0.0).alias("z"))
-    return surfaces.snapped(v, "building", "event_id", 20.0).select("building", "event_id", F.col("x").cast("long").alias("x"))
+    return merging.snapped(v, "building", "event_id", 20.0).select("building", "event_id", F.col("x").cast("long").alias("x"))
 
 
 @query("""SELECT c_custkey AS relation, i AS ring_index, CASE WHEN i=0 THEN 5 ELSE 4 END AS n, CASE WHEN i=0 THEN 200 ELSE 1 END AS twice_area FROM customer, (SELECT unnest(range(0,2))::INTEGER AS i) WHERE i=0 OR c_custkey%3=0""")

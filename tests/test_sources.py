@@ -134,7 +134,8 @@ def test_regions():
 
 
 def test_ring_assembly_and_snapping(spark):
-    from sitebraid.operators.surfaces import assembled, snapped
+    from sitebraid.operators.merging import snapped
+    from sitebraid.operators.surfaces import assembled
 
     p = lambda *c: [{"x": float(x), "y": float(y)} for x, y in c]
     rows = [(1, 0, p((0, 0), (1, 0))), (1, 1, p((1, 1), (1, 0))), (1, 2, p((0, 0), (0, 1), (1, 1))), (2, 0, p((0, 0), (1, 0), (1, 1))), (3, 0, p((0, 0), (1, 0)))]
