@@ -80,3 +80,21 @@ def test_a_coverage_without_an_envelope_fails(spark):
 
     with pytest.raises(Exception, match="no envelope"):
         spark.createDataFrame([("<a/>",)], "x string").select(coverage_description(F.col("x"))).collect()
+
+
+def test_closing_gives_a_rectangle_back():
+    import numpy as np
+
+    from sitebraid.operators import topology
+
+    rings = [np.array([(x, 0.0), (x + 20, 0.0), (x + 20, 10.0), (x, 10.0)]) for x in (0.0, 100.0, 300.0)]
+    area = topology.smoothed(rings, [], (-50.0, -50.0, 400.0, 60.0), closing=4.0)[:, 6].sum()
+    assert area == pytest.approx(600.0, abs=1e-6)
+
+
+def test_a_road_has_no_rail_width(spark):
+    from sitebraid.operators import osm
+
+    rows = [({"railway": "tram", "width": "2 m"}, 3.0), ({"railway": "rail"}, 5.0), ({"railway": "monorail"}, 4.0), ({}, 4.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "tags map<string,string>, want double")
+    assert all(r[0] == r[1] for r in df.select(osm.rail_width(F.col("tags")), "want").collect())
