@@ -61,9 +61,12 @@ def sampled(points: DataFrame, cells: DataFrame, rasters: DataFrame, nodata: Col
     """points (point_id, raster_id, x, y) with z by bilinear interpolation; null outside the box or beside nodata.
 
     rasters: raster_id, width, height, box. Each point asks for its four cells; the answers meet in an equi
-    join on (raster_id, row, col) and are summed a point, so neither side is ever gathered.
+    join on (raster_id, row, col) and are summed a point, so neither side is ever gathered. Cells of rasters that
+    no point asks for go before they are dealt. Cells are often exploded from a few rows, which Spark takes for
+    their size, so joins with them are told not to broadcast them.
     """
-    at = points.join(rasters, "raster_id")
+    wanted = F.broadcast(points.select("raster_id").distinct())  # a number a raster, of which cells are made
+    at = points.join(rasters.join(wanted, "raster_id", "left_semi"), "raster_id")
     b = F.col("box")
     inside = (F.col("x") >= b["min_x"]) & (F.col("x") <= b["max_x"]) & (F.col("y") >= b["min_y"]) & (F.col("y") <= b["max_y"]) & (F.col("width") >= 2) & (F.col("height") >= 2)
     fx = (F.col("x") - b["min_x"]) / (b["max_x"] - b["min_x"]) * (F.col("width") - 1)
@@ -73,10 +76,10 @@ def sampled(points: DataFrame, cells: DataFrame, rasters: DataFrame, nodata: Col
     at = at.withColumn("c0", c0).withColumn("r0", r0).withColumn("u", F.col("fx") - F.col("c0")).withColumn("v", F.col("fy") - F.col("r0"))
     corner = lambda dr, dc: F.struct((F.col("r0") + dr).alias("row"), (F.col("c0") + dc).alias("col"), ((F.col("u") if dc else F.lit(1.0) - F.col("u")) * (F.col("v") if dr else F.lit(1.0) - F.col("v"))).alias("weight"))
     asked = at.select("point_id", "raster_id", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))).alias("k")).select("point_id", "raster_id", "k.*")
-    valid = cells.where(~is_nodata(F.col("z"), nodata)).select("raster_id", "row", "col", "z")
-    met = asked.join(valid, ["raster_id", "row", "col"])
+    valid = cells.join(wanted, "raster_id", "left_semi").where(~is_nodata(F.col("z"), nodata)).select("raster_id", "row", "col", "z")
+    met = asked.join(valid.hint("merge"), ["raster_id", "row", "col"])
     z = met.groupBy("point_id", "raster_id").agg(F.sum(F.col("weight") * F.col("z")).alias("z"), F.count("*").alias("n")).where(F.col("n") == 4).drop("n")
-    return points.join(z, ["point_id", "raster_id"], "left")
+    return points.join(z.hint("merge"), ["point_id", "raster_id"], "left")
 
 
 def average(sampled_points: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -96,9 +99,9 @@ def meshed(cells: DataFrame, sites: DataFrame, most: int = MOST_SAMPLES) -> Data
     baseline is the lowest cell, 0 for absolute coordinates; nodata lies on it. Rasters of a single row or
     column give none. Sites are few (a row a raster) and meet the cells in an equi join.
     """
-    at = cells.join(sites, "raster_id").where((F.col("width") > 1) & (F.col("height") > 1))
+    at = cells.hint("merge").join(sites, "raster_id").where((F.col("width") > 1) & (F.col("height") > 1))
     low = baseline(at.where(~F.col("absolute")), ("raster_id",), F.col("nodata"))
-    kept = downsampled(at, "width", "height", most).join(low, "raster_id", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0.0)))
+    kept = downsampled(at, "width", "height", most).join(low.hint("merge"), "raster_id", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0.0)))
     b, zero = F.col("box"), F.lit(0.0)
     x = b["min_x"] + (b["max_x"] - b["min_x"]) / (F.col("width") - 1) * F.col("col") - F.when(F.col("absolute"), zero).otherwise(F.col("start.x"))
     y = b["max_y"] - (b["max_y"] - b["min_y"]) / (F.col("height") - 1) * F.col("row") - F.when(F.col("absolute"), zero).otherwise(F.col("start.y"))
@@ -112,7 +115,7 @@ def vertex_normals(vertices: DataFrame, quads: DataFrame) -> DataFrame:
     corner = lambda name: vertices.select("raster_id", F.col("vertex").alias(name), F.struct("x", "y", "z").alias(f"p_{name}"))
     met = quads
     for name in "abcd":
-        met = met.join(corner(name), ["raster_id", name])
+        met = met.join(corner(name).hint("merge"), ["raster_id", name])
     e = lambda p, q, c: F.col(f"p_{q}")[c] - F.col(f"p_{p}")[c]  # noqa: E731  the cross product of both diagonals is twice the quad's normal
     cross = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
     n = F.struct(*((e("a", "c", i) * e("b", "d", j) - e("a", "c", j) * e("b", "d", i)).alias(k) for k, (i, j) in cross.items()))

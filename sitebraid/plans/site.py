@@ -155,7 +155,7 @@ def _sample_points(spark, sf_dir):
 def _sampled(spark, sf_dir):
     cells = grid(spark, sf_dir)
     box = F.struct(d(8.45).alias("min_x"), d(50.0).alias("min_y"), d(8.75).alias("max_x"), d(50.2).alias("max_y"))
-    rasters = cells.select("raster_id", "width", "height").distinct().withColumn("box", box)
+    rasters = cells.where("row = 0 and col = 0").select("raster_id", "width", "height").withColumn("box", box)
     return terrain.sampled(_sample_points(spark, sf_dir), cells, rasters, d(-9999.0))
 
 

@@ -27,3 +27,11 @@ def test_only_needed_columns_are_read(spark, name, columns):
 def test_filters_reach_the_scan(spark):
     text = plan(registry.queries()["srs_best_rank"](spark, SMALL).where("p_brand = 'Brand#11'"))
     assert re.search(r"PushedFilters: \[[^]]*EqualTo\(p_brand", text)
+
+
+@pytest.mark.parametrize(("name", "broadcasts"), [("terrain_bilinear_sample", 3), ("terrain_avg_elevation", 3), ("placed_elevations", 3), ("shared_plan_elevation", 3), ("terrain_meshes", 0), ("terrain_normals", 0)])
+def test_cells_and_vertices_are_not_broadcast(spark, name, broadcasts):
+    text = plan(registry.queries()[name](spark, SMALL))
+    assert text.count("BroadcastHashJoin") == broadcasts  # of rasters' numbers, twice, and of the rasters asked for
+    if broadcasts:
+        assert re.search(r"SortMergeJoin \[raster_id#\w+, row#\w+, col#", text)
