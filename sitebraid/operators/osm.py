@@ -169,8 +169,8 @@ def green_faces(areas: DataFrame, rings: str) -> DataFrame:
     from ..functions import geometry as g
 
     cut = areas.withColumn("ring_index", F.sequence(F.lit(0), F.size(rings) - 1)).where(F.size(rings) > 0)
-    cut = cut.withColumn("_r", F.explode(F.arrays_zip(F.col("ring_index").alias("i"), F.col(rings).alias("r")))).withColumn("ring_index", F.col("_r.i")).withColumn("face", g.close(g.without_repeats(F.col("_r.r"), 0.001)))
-    return cut.where((F.size("face") >= 4) & (F.abs(g.twice_area(F.col("face"))) > 1e-9)).drop("_r")
+    cut = cut.withColumn("_r", F.explode(F.arrays_zip(F.col("ring_index").alias("i"), F.col(rings).alias("r")))).withColumn("ring_index", F.col("_r.i")).withColumn("face", g.bound(g.without_repeats(F.col("_r.r"), 0.001), g.close))
+    return cut.where(g.bound(F.col("face"), lambda f: (F.size(f) >= 4) & (F.abs(g.twice_area(f)) > 1e-9))).drop("_r")
 
 
 def rail_lines(rails: DataFrame, line: str, source: str, target: str, start: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import geometry as g
 from ..functions import srs, text
 from ..operators import context, diagnostics, loading, raster
 from ..sources import payloads, tiff
-from .derived import LAT, LON, boxes, boxes_sql, d, table
+from .derived import LAT, LON, boxes, boxes_sql, d, spread, table
 from .spatial import _mm
 
 QUERIES: dict = {}
@@ -131,7 +131,7 @@ def gml_features(spark, sf_dir):
     ring = F.concat_ws(" ", north(0, 0), north(0, 9), north(9, 9), north(0, 0))
     payload = _text("<c xmlns='w' xmlns:gml='g'", F.when(k % 2 == 0, " srsName='urn:ogc:def:crs:EPSG::25832'").otherwise(""), "><member><a gml:id='f", k, "'><name> n ", k, " </name><geom><gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>", ring, "</gml:posList></gml:LinearRing></gml:exterior><gml:interior><gml:LinearRing><gml:posList>1 1 2 2 3 3 1 1</gml:posList></gml:LinearRing></gml:interior></gml:Polygon></geom></a></member>"
         "<gml:featureMember><a><gml:Curve><gml:segments><gml:LineStringSegment><gml:posList srsDimension='3'>", k + 1, " 2 7 ", k + 2, " 3 7</gml:posList></gml:LineStringSegment></gml:segments></gml:Curve></a></gml:featureMember><member><a><gml:MultiPoint><gml:pointMember><gml:Point><gml:pos>", k, " 5</gml:pos></gml:Point></gml:pointMember><gml:pointMember><gml:Point><gml:coordinates>", k + 1, ",6</gml:coordinates></gml:Point></gml:pointMember></gml:MultiPoint></a></member><member><a><x>y</x></a></member></c>")
-    read = payloads.gml(table(spark, sf_dir, "customer").select(k.cast("string").alias("layer"), payload.alias("payload")))
+    read = payloads.gml(spread(table(spark, sf_dir, "customer").select("c_custkey")).select(k.cast("string").alias("layer"), payload.alias("payload")))
     return read.select(F.col("source_layer").cast("long").alias("c_custkey"), "seq", "id", "type", "role", "part", F.size("points").alias("n"), F.get("points", F.lit(0))["x"].cast("long").alias("x"), F.element_at("attributes", F.lit("name")).alias("name"))
 
 
@@ -141,7 +141,7 @@ def lod2_surfaces(spark, sf_dir):
     face = lambda z, hole: _text("<gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>", F.concat_ws(" ", *(_text(a, " ", b, " ", z) for a, b in (("0", "0"), ("9", "0"), ("9", "9"), ("0", "9"), ("0", "0")))), "</gml:posList></gml:LinearRing></gml:exterior>", hole, "</gml:Polygon>")
     hole = "<gml:interior><gml:LinearRing><gml:posList>1 1 1 2 1 1 2 2 1 1 1 1</gml:posList></gml:LinearRing></gml:interior><gml:interior><gml:LinearRing><gml:posList>1 1 1 2 1 1</gml:posList></gml:LinearRing></gml:interior>"
     payload = _text("<c xmlns='w' xmlns:gml='g'><member><Building gml:id='b", k, "' srsName='EPSG:7423'><localId>L", k, "</localId><HeightAboveGround><value>", k % 50, "</value></HeightAboveGround>", face(k, hole), face(k + 100, ""), "<gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>0 0 0 1 1 1</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon></Building></member><member><Building gml:id='empty'/></member></c>")
-    read = payloads.lod2(table(spark, sf_dir, "customer").select(k.cast("string").alias("layer"), payload.alias("payload")))
+    read = payloads.lod2(spread(table(spark, sf_dir, "customer").select("c_custkey")).select(k.cast("string").alias("layer"), payload.alias("payload")))
     fact = lambda name: F.element_at("attributes", F.lit(name))
     return read.select(F.col("source_layer").cast("long").alias("c_custkey"), "surface", "ring", F.col("outer").alias("outer_ring"), F.size("points").alias("n"), F.get("points", F.lit(0))["z"].cast("long").alias("z"), "id", fact("LocalId").alias("local_id"), fact("HeightAboveGround").alias("height"))
 

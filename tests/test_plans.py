@@ -35,3 +35,12 @@ def test_cells_and_vertices_are_not_broadcast(spark, name, broadcasts):
     assert text.count("BroadcastHashJoin") == broadcasts  # of rasters' numbers, twice, and of the rasters asked for
     if broadcasts:
         assert re.search(r"SortMergeJoin \[raster_id#\w+, row#\w+, col#", text)
+
+
+@pytest.mark.parametrize("name", ["green_areas", "fitted_planes", "gml_features", "lod2_surfaces", "terrain_baseline"])
+def test_rows_of_one_file_are_dealt_over_tasks(spark, name):
+    assert "RoundRobinPartitioning(8), REPARTITION_BY_NUM" in plan(registry.queries()[name](spark, SMALL))
+
+
+def test_relations_are_not_a_frame_each(spark):
+    assert "FlatMapGroupsInPandas" not in plan(registry.queries()["ring_assembly"](spark, SMALL))
