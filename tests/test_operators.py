@@ -98,3 +98,14 @@ def test_a_road_has_no_rail_width(spark):
     rows = [({"railway": "tram", "width": "2 m"}, 3.0), ({"railway": "rail"}, 5.0), ({"railway": "monorail"}, 4.0), ({}, 4.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "tags map<string,string>, want double")
     assert all(r[0] == r[1] for r in df.select(osm.rail_width(F.col("tags")), "want").collect())
+
+
+def test_points_bound_the_edges_of_a_building(spark):
+    from sitebraid.operators import surfaces
+
+    p = lambda *xyz: [dict(zip("xyz", map(float, q), strict=True)) for q in xyz]
+    rows = [(1, 0, p((0, 0, 0), (1, 0, 0), (1, 1, 0))), (1, 1, p((0, 0, 0), (0, 0, 0), (1, 0, 0), (1, 0, 1))), (2, 0, None)]
+    df = spark.createDataFrame(rows, "b int, s int, outer array<struct<x:double,y:double,z:double>>")
+    bounds = dict(map(tuple, surfaces.edge_bounds(df, "b").collect()))
+    edges = dict(map(tuple, surfaces.edges(df, "b", "s").groupBy("b").count().collect()))
+    assert bounds == {1: 7, 2: 0} and edges == {1: 6}
