@@ -6,11 +6,11 @@ a repetition nor tries a long run again from each of its characters.
 
 High-recall generators propose further spans: spelt-out addresses, numbers with an area code in brackets
 or after a word that announces one, and card-like numbers. Gradient-boosted trees score them on the
-format of the span and its context; they are fitted in numpy on a bounded sample of documents
-(SAMPLE_DOCS different texts, by a hash), where base spans are the positive and failed candidates the negative
-examples, and compiled to CASE expressions. A span is added if its score passes its kind's threshold,
-calibrated on a quarter of the sample that the trees aren't fitted on, and it overlaps no base span and no
-better added one.
+format of the span and its context; they are fitted on all different texts, where base spans are the positive and
+failed candidates the negative examples, and compiled to CASE expressions. Candidates stay in Spark, equal ones
+counted: a level of a tree needs the sums of each value of each feature in each node, which alone come to the driver.
+A span is added if its score passes its kind's threshold, calibrated on a quarter of the texts that the trees aren't
+fitted on, and it overlaps no base span and no better added one.
 """
 
 from dataclasses import dataclass
@@ -19,15 +19,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, write_table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents the trees are fitted on at most, and candidates of them.
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 10_000, 40_000
 #: Boosting: trees, depth, step, least weight of a leaf; precision asked of a threshold, and where it may not go below.
 TREES, DEPTH, STEP, LEAF, PRECISION, FLOOR = 24, 3, 0.3, 4.0, 0.98, 0.6
 #: Characters of context on either side.
 CONTEXT = 24
+#: Steps of a gradient's unit in sums, which are whole numbers and so the same in any order; of a score's in thresholds, and the largest score told apart.
+UNIT, GRID, FAR = 1 << 30, 1000, 30
+#: Trees that are summed up anew in each pass, before scores are written.
+SUMMED = 4
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns. A group of one character with a look-behind repeats without recursion.
@@ -155,6 +157,14 @@ class Trees:
         return out
 
 
+def _cut(gs: np.ndarray, hs: np.ndarray, n: np.ndarray, whole: float) -> tuple[float, int]:
+    """The best gain and its place, given the sums up to each value of a feature."""
+    gain = gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - whole
+    gain[(n < LEAF) | (n[-1] - n < LEAF)] = -1
+    at = int(np.argmax(gain))
+    return float(gain[at]), at
+
+
 def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None) -> Trees:
     """Logistic boosting over small integers; y: 1 for personal data. Thresholds come from the rows held out (all rows of a kind without any)."""
     held = np.zeros(len(y), bool) if held is None else held
@@ -175,12 +185,9 @@ def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None) -> Trees
             for f in range(x.shape[1]):
                 values = x[rows, f]
                 size = int(values.max()) + 1
-                gs, hs, n = (np.cumsum(np.bincount(values, weights=w, minlength=size)) for w in (g[rows], h[rows], np.ones(len(rows))))
-                gain = gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - whole
-                gain[(n < LEAF) | (n[-1] - n < LEAF)] = -1
-                at = int(np.argmax(gain))
-                if gain[at] > best[0]:
-                    best = (float(gain[at]), f, at)
+                gain, at = _cut(*(np.cumsum(np.bincount(values, weights=w, minlength=size)) for w in (g[rows], h[rows], np.ones(len(rows)))), whole)
+                if gain > best[0]:
+                    best = (gain, f, at)
         if best[1] is None:
             return leaf(rows, g, h)
         left = x[rows, best[1]] <= best[2]
@@ -208,16 +215,99 @@ def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None) -> Trees
     return Trees(trees, prior, tuple(thresholds))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees fitted on the candidates of a bounded sample: the SAMPLE_DOCS different texts, and of their candidates the
-    SAMPLE_CANDIDATES, that come first by a hash. A quarter of the texts sets the thresholds alone."""
+def _grown(rows: DataFrame, odds: Column) -> tuple | float:
+    """A tree of `boost` on rows (x, y, n) that have odds, a level a pass; only sums by node, feature and value are gathered."""
+    x, p = F.col("x"), 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
+    here = rows.select("x", "y", "n", p.alias("p"))
+    whole = lambda v: (F.round(v * UNIT).cast("long") * F.col("n"))
+    here = here.select("x", "n", whole(F.col("y") - F.col("p")).alias("g"), whole(F.col("p") * (1 - F.col("p")) + 1e-9).alias("h"))
+    splits: dict[int, tuple[int, int]] = {}
+    leaves: dict[int, float] = {}
+    leaf = lambda g, h: float(STEP * g / (h + 1))
+
+    def node(k: int) -> Column:
+        """The number of the open node that a row is in (children of k: 2 k and 2 k + 1), null in a leaf."""
+        if k in splits:
+            f, most = splits[k]
+            return F.when(F.get(x, F.lit(f)) <= most, node(2 * k)).otherwise(node(2 * k + 1))
+        return F.lit(None).cast("int") if k in leaves and k not in open_ else F.lit(k)
+
+    open_ = [1]
+    for _ in range(DEPTH):
+        each = here.select(node(1).alias("node"), "g", "h", "n", F.posexplode("x").alias("f", "value")).where("node is not null")
+        sums: dict[int, dict[int, list]] = {}
+        for r in each.groupBy("node", "f", "value").agg(*(F.sum(c).alias(c) for c in "ghn")).collect():  # nodes x features x values
+            sums.setdefault(r["node"], {}).setdefault(r["f"], []).append((r["value"], r["g"] / UNIT, r["h"] / UNIT, r["n"]))
+        fresh = []
+        for k in open_:
+            best = (1e-6, None, None, None)
+            for f, found in sorted(sums.get(k, {}).items()):
+                value, *parts = np.array(sorted(found)).T
+                gs, hs, n = (np.cumsum(v) for v in parts)
+                leaves.setdefault(k, leaf(gs[-1], hs[-1]))
+                gain, at = _cut(gs, hs, n, gs[-1] ** 2 / (hs[-1] + 1))
+                if gain > best[0] * (1 + 1e-9):  # of equal gains the first feature's
+                    best = (gain, f, int(value[at]), (leaf(gs[at], hs[at]), leaf(gs[-1] - gs[at], hs[-1] - hs[at])))
+            if best[1] is not None:
+                splits[k] = best[1:3]
+                leaves[2 * k], leaves[2 * k + 1] = best[3]
+                fresh += [2 * k, 2 * k + 1]
+        open_ = fresh
+        if not open_:
+            break
+
+    def tree(k: int):
+        return (*splits[k], tree(2 * k), tree(2 * k + 1)) if k in splits else leaves[k]
+
+    return tree(1)
+
+
+def boosted(examples: DataFrame) -> Trees:
+    """`boost` over a table of examples: x (array of small integers), y, held, n (how often). Thresholds are told apart to 1 / GRID."""
+    n, right = examples.where("not held").agg(F.sum("n"), F.sum(F.col("y") * F.col("n"))).first()
+    if not n or right in (0, n):
+        return Trees([], 0.0, (1e9,) * len(KINDS))  # nothing to tell apart: nothing is added
+    mean = right / n
+    model, x, late = Trees([], float(np.log(mean / (1 - mean))), ()), F.col("x"), []
+    rows = examples.withColumn("odds", F.lit(model.prior))
+    for i in range(TREES):
+        late.append(_grown(rows.where("not held"), F.col("odds") + Trees(late, 0.0, ()).odds(x)))
+        if len(late) == SUMMED or i + 1 == TREES:
+            rows = write_table(rows.withColumn("odds", F.col("odds") + Trees(late, 0.0, ()).odds(x)), "odds")
+            model.trees, late = model.trees + late, []
+    score = F.floor(F.least(F.greatest(F.col("odds"), F.lit(-float(FAR))), F.lit(float(FAR))) * GRID)
+    found = rows.groupBy(F.get(x, F.lit(0)).alias("k"), "held", score.alias("score")).agg(F.sum("n").alias("n"), F.sum(F.col("y") * F.col("n")).alias("y")).collect()  # at most 2 x GRID x FAR a kind and half
+    thresholds = []
+    for k in range(len(KINDS)):
+        own = [r for r in found if r["k"] == k and r["held"]] or [r for r in found if r["k"] == k]
+        floor = float(np.log(FLOOR / (1 - FLOOR)))
+        if own:
+            sums: dict[int, np.ndarray] = {}
+            for r in own:
+                sums[r["score"]] = sums.get(r["score"], np.zeros(2)) + (r["n"], r["y"])
+            order = sorted(sums, reverse=True)
+            n, y = np.cumsum([sums[v] for v in order], axis=0).T
+            good = np.flatnonzero(y / n >= PRECISION)
+            floor = max(floor, order[good[-1]] / GRID) if len(good) else 1e9
+        thresholds.append(floor)
+    return Trees(model.trees, model.prior, tuple(thresholds))
+
+
+def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """x, y, held, n of the candidates of all different texts of docs: base spans (y 1) and those that failed (0); a quarter of the texts is held.
+
+    Texts are told apart by a hash; copies count once, and no text is shuffled.
+    """
     rows = id_and_text(docs, id_col, text_col).where(F.col("text").rlike("[0-9]{3}|@")).select("text", F.xxhash64("text").alias("h"))
-    last = rows.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    found = _found(rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text")))
-    pairs = found.select("h", "text", F.explode(F.concat(F.transform("base", lambda s: F.struct(s.alias("s"), F.lit(1).alias("y"))), F.transform(F.filter("failed", lambda s: ~F.exists("base", lambda b: _overlaps(s, b))), lambda s: F.struct(s.alias("s"), F.lit(0).alias("y"))))).alias("c"))
-    sample = pairs.select(F.xxhash64("h", "c.s.start", "c.s.k").alias("order"), "h", F.col("c.s.start").alias("start"), F.col("c.s.k").alias("k"), _features(F.col("text"), F.col("c.s")).alias("x"), F.col("c.y").alias("y"))
-    sample = sample.orderBy("order", "h", "start", "k", "y").limit(SAMPLE_CANDIDATES).collect()
-    return boost(np.array([r["x"] for r in sample], "i8").reshape(-1, len(FEATURES)), np.array([r["y"] for r in sample], "f8"), np.array([r["h"] % 4 == 0 for r in sample], bool))
+    kept = lambda a, y: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), _features(F.col("text"), s).alias("x"), F.lit(y).alias("y")))
+    spans = F.concat(kept(F.col("base"), 1), kept(F.filter("failed", lambda s: ~F.exists("base", lambda b: _overlaps(s, b))), 0))
+    each = _found(rows).select("h", F.explode(spans).alias("c")).select("h", "c.*").distinct()
+    return each.groupBy("x", "y", (F.pmod("h", F.lit(4)) == 0).alias("held")).agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees:
+    """Trees fitted on the candidates of all different texts. A quarter of the texts sets the thresholds alone."""
+    return boosted(write_table(examples(docs, id_col, text_col), "examples"))
 
 
 def find(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
