@@ -208,6 +208,8 @@ ALIKE_SHINGLE, ALIKE = 5, 8
 SMALL_KEY, SMALL_SHINGLE = 4, 8
 #: Smallest shingle hashes kept of a text; how many of them, rarest first, are second keys in crowded keys, and of those that more than SMALL_SHINGLE share.
 SKETCH, RARE, COMMON = 64, 12, 4
+#: Sets in a block at most, and their shingles (unless one set has more).
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def several_keys(values: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,30 +230,37 @@ def several_keys(values: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _neighbours(keys: np.ndarray, nodes: np.ndarray, firsts: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of sorted rows: all of a key with at most small rows, else each row with the one ahead of it and the key's first; and the rows of such keys."""
+def _neighbours(keys: np.ndarray, nodes: np.ndarray, firsts: np.ndarray, small: int, chained: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sorted rows: all of a key with at most small rows; of a larger one each row with the one ahead of it and the key's first if
+    chained, else none. And which rows have such keys."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.repeat(np.diff(np.append(starts, len(keys))), np.diff(np.append(starts, len(keys))))
-    left, right = [firsts], [nodes]
+    left, right = ([firsts], [nodes]) if chained else ([], [])
     for gap in range(1, small):
-        same = np.flatnonzero((keys[gap:] == keys[:-gap]) & ((size[gap:] <= small) | (gap == 1)))
+        same = np.flatnonzero((keys[gap:] == keys[:-gap]) & ((size[gap:] <= small) | (chained and gap == 1)))
         left.append(nodes[same])
         right.append(nodes[same + gap])
     u, v = np.concatenate(left), np.concatenate(right)
-    return u[u != v], v[u != v], nodes[size > small]
+    return u[u != v], v[u != v], size > small
 
 
-def _met(keyed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs u < v of the nodes that share a key (key, node), and the nodes of keys with more than small members.
+def _met(keyed: DataFrame, small: int, chained: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs u < v of the nodes that share a key (key, node), and the nodes of keys whose pairs may not be among them.
 
-    Rows are sorted by key over all tasks, so a key with very many members is dealt over several: all its members are
-    in a chain, and in each task in a star around the first there. No task holds a key.
+    Rows are sorted by key over all tasks, so a key with very many members is dealt over several: if chained, all its members are
+    in a chain, and in each task in a star around the first there. No task holds a key. Nodes come second if their key has more
+    than small members or may go on in another task.
     """
 
     def met(batches):
         task = TaskContext.get().partitionId()
         held_keys, held, first = np.zeros(0, "i8"), np.zeros(0, "i8"), None
         ends: list[tuple[int, int]] = []
+
+        def told(u, v=None):
+            none = pa.nulls(len(u), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(u), none if v is None else pa.array(v), none, none], ["u", "v", "key", "task"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -263,35 +272,31 @@ def _met(keyed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
             if first is not None and len(held_keys):
                 firsts[keys == held_keys[-1]] = first
             ends = [ends[0] if ends else (int(keys[0]), int(nodes[0])), (int(keys[-1]), int(nodes[-1]))]
-            u, v, crowd = _neighbours(keys, nodes, firsts, small)
+            u, v, large = _neighbours(keys, nodes, firsts, small, chained)
             first, keep = firsts[-1], min(small, len(keys))
             held_keys, held = keys[-keep:], nodes[-keep:]
             if len(u):
-                none = pa.nulls(len(u), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none], ["u", "v", "key", "task"])
+                yield told(np.minimum(u, v), np.maximum(u, v))
+            crowd = np.unique(nodes[large | (keys == ends[0][0])])
             if len(crowd):
-                crowd = np.unique(crowd)
-                none = pa.nulls(len(crowd), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(crowd), none, none, none], ["u", "v", "key", "task"])
+                yield told(crowd)
+        if ends:
+            yield told(np.unique(held[held_keys == ends[1][0]]))
         for side, (key, node) in enumerate(ends):
             yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([side]), pa.array([key]), pa.array([task])], ["u", "v", "key", "task"])
 
     found = write_table(keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(met, "u long, v long, key long, task long").distinct(), "met")
+    plain = found.where("task is null")
+    pairs, crowd = plain.where("v is not null").select("u", "v"), plain.where("v is null").select(F.col("u").alias("node"))
+    if not chained:
+        return pairs, crowd
     ends = sorted(tuple(r) for r in found.where("task is not null").select("task", "v", "key", "u").collect())  # two rows a task
     over = [(min(a[3], b[3]), max(a[3], b[3])) for a, b in zip(ends[1::2], ends[2::2]) if a[2] == b[2] and a[3] != b[3]]
-    plain = found.where("task is null")
-    pairs = plain.where("v is not null").select("u", "v")
-    return pairs.unionByName(keyed.sparkSession.createDataFrame(over, "u long, v long")) if over else pairs, plain.where("v is null").select(F.col("u").alias("node"))
+    return pairs.unionByName(keyed.sparkSession.createDataFrame(over, "u long, v long")) if over else pairs, crowd
 
 
-def proposed(classes: DataFrame) -> DataFrame:
-    """u < v: pairs of nodes that meet under a key of some view. classes: node (long), fps (a fingerprint a view), sketch (its smallest shingle hashes).
-
-    Of a Golay key with few members all pairs are proposed. The members of a crowded one are chained, and meet again
-    under a second key: those of their sketched shingles that the fewest of all such members share (two at least).
-    Copies have the rare shingles of their text in common, while what a whole family shares tells nothing apart;
-    so pairs grow with the members, and which copies are found doesn't depend on how large the family is.
-    """
+def _golay(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u < v: all pairs of nodes under the Golay keys of few members; and the nodes of the crowded ones."""
 
     def keyed(batches):
         for batch in batches:
@@ -302,13 +307,132 @@ def proposed(classes: DataFrame) -> DataFrame:
                     keys, rows = several_keys(np.ascontiguousarray(fps[:, view]), view)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[rows])], ["key", "node"])
 
-    pairs, crowd = _met(classes.select("node", "fps").mapInArrow(keyed, "key long, node long"), SMALL_KEY)
+    return _met(classes.select("node", "fps").mapInArrow(keyed, "key long, node long"), SMALL_KEY, chained=False)
+
+
+def _sharing(classes: DataFrame, crowd: DataFrame) -> DataFrame:
+    """u < v: pairs of nodes of crowd under those of their sketched shingles that the fewest of them share (two at least).
+
+    The nodes of a shingle that many share are chained only: this finds most links, few pairs at a time, and rest() finds the others.
+    """
     shingles = classes.select("node", "sketch").join(crowd, "node").select("node", F.explode("sketch").alias("key"))
     shingles = write_table(shingles, "crowded")
     common = shingles.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     place = F.row_number().over(W.partitionBy("node").orderBy("n", "key"))
     rare = shingles.join(common, "key").select("node", "key", "n", place.alias("place")).where((F.col("place") <= COMMON) | (F.col("n") <= SMALL_SHINGLE) & (F.col("place") <= RARE))
-    return pairs.unionByName(_met(rare.select("key", "node"), SMALL_SHINGLE)[0])
+    return _met(rare.select("key", "node"), SMALL_SHINGLE, chained=True)[0]
+
+
+def proposed(classes: DataFrame) -> DataFrame:
+    """u < v: pairs of nodes that meet under a key of some view. classes: node (long), fps (a fingerprint a view), sketch (its smallest shingle hashes).
+
+    Of a Golay key with few members all pairs are proposed; the members of crowded ones meet under shared shingles.
+    """
+    pairs, crowd = _golay(classes)
+    return pairs.unionByName(_sharing(classes, crowd))
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """key, same, component, size, left: the rarest shingles of each set of at least two sets (same, component, shingles), of which near copies must share one.
+
+    Shingles are in one order for all, rare ones first; left is how many of the set are not before this one, size all of them. Where
+    the first that two sets share has left of them in one and in the other, they share at most the lesser of both.
+    """
+    shingles = sets.select("same", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    often = shingles.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    left = F.row_number().over(W.partitionBy("same").orderBy(F.desc("n"), F.desc("key")))
+    return shingles.join(often, "key").select("key", "same", "component", "size", left.alias("left")).where(10 * F.col("left") >= ALIKE * F.col("size"))
+
+
+def _alike(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets with ALIKE tenths of their union in common that hold together whatever such pairs do; sets of a label already are."""
+    sizes, m = np.array([len(s) for s in sets]), len(sets)
+    _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, several = np.repeat(np.arange(m), sizes), n[place] > 1
+    row, place = row[several], (np.cumsum(n > 1) - 1)[place[several]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((m, m), "f4")
+    for start in range(0, int((n > 1).sum()), 4096):
+        a, b = np.searchsorted(place, [start, start + 4096])
+        has = np.zeros((m, 4096), "f4")
+        has[row[a:b], place[a:b] - start] = 1
+        common += has @ has.T
+    near = np.triu((10 + ALIKE) * common >= ALIKE * (sizes[:, None] + sizes[None, :]), 1) & (labels[:, None] != labels[None, :])
+    parent, out = list(range(int(labels.max()) + 1)), []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        a, b = int(labels[i]), int(labels[j])
+        while parent[a] != a:
+            a = parent[a] = parent[parent[a]]
+        while parent[b] != b:
+            b = parent[b] = parent[parent[b]]
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def rest(sets: DataFrame) -> DataFrame:
+    """u, v: links that join all components of sets (same, component, shingles) between which near copies are left.
+
+    Sets meet under their rarest shingles (prefixes). Keys whose sets are of one component are done. The others, sorted, are cut into
+    blocks, and all sets of a block and of each two blocks of a key are compared, unless they are of one component. Tasks
+    hold two blocks at a time; a key of n sets of different components takes some n * n / 2 comparisons.
+    """
+    entries = write_table(prefixes(sets), "prefixes")
+    size, left = F.col("size"), F.col("left")
+    # of two near copies the smaller has so much left of itself; and the larger enough for both
+    smaller = F.when((10 + ALIKE) * left >= 2 * ALIKE * size, size)
+    keys = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(smaller).alias("least")).where("low != high and least is not null")
+    unsettled = entries.join(keys.select("key", "least"), "key").where((10 + ALIKE) * left >= ALIKE * (size + F.col("least"))).select("key", "component", "same", "size")
+
+    def cut(batches):
+        block, rows, shingles, before = TaskContext.get().partitionId() << 40, 0, 0, None
+        for batch in batches:
+            blocks = []
+            for key, size in zip(column(batch, "key").to_pylist(), column(batch, "size").to_pylist(), strict=True):
+                if rows >= BLOCK or shingles + size > BLOCK_SHINGLES or (rows >= BLOCK // 2 and key != before):
+                    block, rows, shingles = block + 1, 0, 0
+                rows, shingles, before = rows + 1, shingles + size, key
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), column(batch, "key"), column(batch, "component"), column(batch, "same")], ["block", "key", "component", "same"])
+
+    def compare(batches):
+        for group in _groups(batches):
+            names = [x for b in group for x in column(b, "component").to_pylist()]
+            same = [x for b in group for x in column(b, "same").to_pylist()]
+            shingles = [x.values.to_numpy() for b in group for x in column(b, "shingles")]
+            pairs = _alike(shingles, np.unique(np.array(names, "S16").view("V16"), return_inverse=True)[1])
+            yield pa.RecordBatch.from_arrays([pa.array([same[i] for i, _ in pairs], pa.binary()), pa.array([same[j] for _, j in pairs], pa.binary())], ["u", "v"])
+
+    blocks = write_table(unsettled.repartitionByRange("key", "component", "same").sortWithinPartitions("key", "component", "same").mapInArrow(cut, "block long, key long, component binary, same binary"), "blocks")
+    bounds = (F.min("component").alias("low"), F.max("component").alias("high"))
+    alone = blocks.groupBy("block").agg(*bounds).where("low != high").select(F.col("block").alias("a"), F.col("block").alias("b"))
+    held = blocks.groupBy("key", "block").agg(*bounds)
+    held = held.join(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    a, b = (held.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "low", "high"))) for side in "ab")
+    across = a.join(b, "key").where("a_block < b_block and (a_low != b_low or a_low != a_high or b_low != b_high)").select(F.col("a_block").alias("a"), F.col("b_block").alias("b")).distinct()
+    pairs = alone.unionByName(across).select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    met = pairs.join(blocks.select("block", "same").distinct(), "block").select("a", "b", "same").distinct().join(sets, "same")
+    return met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "u binary, v binary")
+
+
+def _groups(batches):
+    """The slices of each group of rows of equal a, b, which come in order."""
+    held, own = [], None
+    for batch in batches:
+        a, b = column(batch, "a").to_numpy(), column(batch, "b").to_numpy()
+        cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if start == stop:
+                continue
+            if held and own != (a[start], b[start]):
+                yield held
+                held = []
+            own = (a[start], b[start])
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield held
 
 
 def _mark(docs: DataFrame) -> Column:
@@ -342,8 +466,10 @@ def _copies(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: st
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
     classes = write_table(rows.groupBy("same").agg(least.alias("least"), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch")), "classes")
     # a node is eight bytes of its class's digest; what meets by chance is told apart by all sixteen below
-    pairs = write_table(proposed(classes.select(_node(F.col("same")).alias("node"), "fps", "sketch")).distinct(), "pairs")
-    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    nodes = classes.select(_node(F.col("same")).alias("node"), "fps", "sketch")
+    few, crowd = _golay(nodes)
+    pairs = write_table(few.unionByName(_sharing(nodes, crowd)).distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(crowd).distinct()
     marks = classes.select(_node(F.col("same")).alias("node"), "least.mark").join(asked, "node").select("mark").distinct()
     sets = write_table(map_slices(narrow.join(marks, "mark", "left_semi").select("text"), shingled, "node long, same binary, shingles array<long>").dropDuplicates(["same"]), "shingles")
     one = lambda n, s: sets.select(F.col("node").alias(n), F.col("same").alias(f"{n}_same"), F.col("shingles").alias(s))
@@ -351,6 +477,11 @@ def _copies(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: st
     common, sizes = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
     alike = both.where((10 + ALIKE) * common >= ALIKE * sizes).select(F.col("u_same").alias("u"), F.col("v_same").alias("v"))
     roots = connected(alike.distinct())
+    component = F.coalesce("root", "same").alias("component")
+    crowded = sets.join(crowd, "node", "left_semi").join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", component, "shingles")
+    more = write_table(rest(write_table(crowded, "crowded_sets")), "rest")
+    if not more.isEmpty():
+        roots = connected(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     known = classes.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").select("same", "least", F.coalesce("root", "same").alias("component"))
     return rows.select("doc_id", "mark", "same"), write_table(known, "components")
 
@@ -364,8 +495,8 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, views: int = COPY_
     """doc_id, component_id (the smallest doc_id, null if there is none) of every row: near copies by their five-word shingles are linked.
 
     Texts of equal words are one class. Each class has several fingerprints (the same shingles, hashed anew);
-    classes that meet under a Golay key of any of them are proposed (in a crowded key those that share rare shingles
-    too), and a pair is linked if its shingle sets have ALIKE tenths in common. Repeated rows stay repeated; null texts have no words, like empty ones.
+    classes that meet under a Golay key of any of them are proposed (those of crowded keys, all of them, under the
+    rarest of their shingles, which loses no pair), and a pair is linked if its shingle sets have ALIKE tenths in common. Repeated rows stay repeated; null texts have no words, like empty ones.
     """
     rows, classes = _copies(docs, shingle, views, id_col, text_col)
     least = classes.groupBy("component").agg(F.min("least").alias("least")).select("component", F.col("least.doc_id").alias("component_id"))
