@@ -12,8 +12,10 @@ context, by batched masked products.
 
 What is counted covers all training rows: words (for the unigram score), ids and their bigrams, within words
 and across them. The attention weights start from windows of a bounded sample (about TRAIN_DOCS texts) on the
-driver; then every training row gives a window: rows are dealt to parts by a hash, each part goes on from there, and
-the weights that come out are averaged by their windows.
+driver; then all ids of every training row are learned: rows are dealt to parts by a hash, each part goes on from there over
+all windows of its rows, and the weights that come out are averaged by their windows.
+
+Texts are spelt once: their ids are written beside them, and counting, training and scoring read those.
 
 Words that are counted most (HEAD of them at most) have their counts and ids in a broadcast table; the counts
 of the others meet the texts in a shuffle join of the distinct rare words of each row.
@@ -24,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, id_and_text, slices, write_table
 from .subwords import encoder
@@ -45,8 +49,8 @@ BLOCK, WIDTH, SYMBOLS, SINGLE, ROWS = 16, 24, 160, 120, 4096
 DISCOUNT = 0.6
 #: The first training sample and training itself; RATE_LATER is that of the pass over all training rows.
 TRAIN_DOCS, WINDOWS_A_DOC, WINDOW_BLOCKS, EPOCHS, BATCH, RATE, RATE_LATER = 2000, 16, 4, 3, 128, 0.01, 0.003
-#: Blocks scored at once; their arrays fit a core's cache.
-STEP = 96
+#: Blocks scored and windows learned from at once; their arrays fit a core's cache.
+STEP, CHUNK = 96, 32
 #: Parts in which weights are summed over tasks.
 PARTS = 64
 #: Rows whose windows are learned one after the other, however many partitions the rows come in.
@@ -94,11 +98,32 @@ def n_ids(tokenizer: str) -> int:
     return encoder(tokenizer, PIECES).library.get_vocab_size() + 2
 
 
+def _id_type(tokenizer: str) -> str:
+    return "<u2" if n_ids(tokenizer) <= 1 << 16 else "<u4"
+
+
+def spelt(texts: DataFrame, tokenizer: str) -> DataFrame:
+    """The rows of texts (text and others) with ids: all ids of the text, packed. No shuffle."""
+    kind = _id_type(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = speller(tokenizer).spell
+        for batch in slices(batches):
+            split = [words_of(t) for t in column(batch, "text").to_pylist()]
+            pieces, at, packed = spell([w for x in split for w in x]), 0, []
+            for x in split:
+                packed.append(np.frombuffer(b"".join(pieces[at : at + len(x)]), "<u4").astype(kind).tobytes())
+                at += len(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, "ids"])
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("ids", T.BinaryType())]))
+
+
 def gather(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """word, key, c over the rows of docs (doc_id, text): counts of words (the end of a text is the empty word; key is
+    """word, key, c over the rows of docs (text, ids): counts of words (the end of a text is the empty word; key is
     null), and of bigrams as first id * ids + second id (word is null). Counted in each task, summed in one shuffle."""
-    vocab = n_ids(tokenizer)
-    begin, end = np.array([vocab - 1], "<u4").tobytes(), np.array([vocab - 2], "<u4").tobytes()
+    vocab, kind = n_ids(tokenizer), _id_type(tokenizer)
+    begin, end = np.array([vocab - 1], kind).tobytes(), np.array([vocab - 2], kind).tobytes()
 
     def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         unique, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -107,7 +132,6 @@ def gather(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         keys, counts, pending = [], [], 0
-        spell = speller(tokenizer).spell
 
         def out():
             n = len(words)
@@ -117,14 +141,9 @@ def gather(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for batch in slices(batches):
             split = [words_of(t) for t in column(batch, "text").to_pylist()]
-            flat = [w for x in split for w in x]
-            words.update(flat)
+            words.update(chain.from_iterable(split))
             words[b""] += len(split)
-            spelt, at, parts = spell(flat), 0, []
-            for x in split:
-                parts += [begin, *spelt[at : at + len(x)], end]
-                at += len(x)
-            ids = np.frombuffer(b"".join(parts), "<u4").astype("i8")
+            ids = np.frombuffer(b"".join(x for own in column(batch, "ids").to_pylist() for x in (begin, own, end)), kind).astype("i8")
             pairs = ids[:-1] * vocab + ids[1:]
             unique, n = np.unique(pairs[ids[1:] != vocab - 1], return_counts=True)
             keys.append(unique)
@@ -144,7 +163,7 @@ def gather(docs: DataFrame, tokenizer: str) -> DataFrame:
         if words:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, key long, c long").groupBy("word", "key").agg(F.sum("c").alias("c"))
+    return docs.select("text", "ids").mapInArrow(run, "word binary, key long, c long").groupBy("word", "key").agg(F.sum("c").alias("c"))
 
 
 def commonest(counted: DataFrame, most: int) -> DataFrame:
@@ -287,8 +306,12 @@ class Attention:
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log p of each target, 0 where there is none. Works on a few hundred tokens at a time."""
+        size, step = len(inputs), STEP
+        # steps are whole, so that products don't depend on what else is scored
+        blank = -(size // BLOCK - 1) % step * BLOCK
+        inputs, targets = np.concatenate([inputs, np.full(blank, self.pad, "i4")]), np.concatenate([targets, np.full(blank, -1, "i8")])
         out = np.zeros(len(inputs), "f4")
-        blocks, step = len(inputs) // BLOCK, STEP
+        blocks = len(inputs) // BLOCK
         pick = np.maximum(targets, 0)
         symbol = self.symbol[pick]
         rows = np.arange(step * BLOCK)
@@ -309,7 +332,7 @@ class Attention:
             mass = logits.astype("i4").view("f4")
             out[at:to] = np.log(mass[rows[: to - at], symbol[at:to]] / (mass @ self.ones)) + self.within(own, pick[at:to])
         out[targets < 0] = 0
-        return out
+        return out[:size]
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 p of each text, its end included."""
@@ -336,54 +359,67 @@ class Trainer:
         self.gap = (BLOCK + np.arange(BLOCK))[:, None] - np.arange(2 * BLOCK)[None, :]
 
     def step(self, windows: np.ndarray, fall: float = 1.0) -> None:
+        """A step down the mean gradient over windows, CHUNK of them at a time."""
         m = self.model
         xs = np.where(windows >= 0, m.row[np.maximum(windows, 0)], m.pad)
         first = (windows >= 0).argmax(axis=1)
         lead = np.flatnonzero((first > 0) & (windows[:, 0] == -1))
         xs[lead, first[lead] - 1] = m.start
         ys = np.where(windows[:, 1:] >= 0, m.symbol[np.maximum(windows[:, 1:], 0)], -1)
-        xs = xs[:, :-1]
+        share = np.float32(1 / max(1, int((ys[:, BLOCK:] >= 0).sum())))
+        parts = [self._gradients(xs[at : at + CHUNK, :-1], ys[at : at + CHUNK], share) for at in range(0, len(xs), CHUNK)]
+        grads = {n: sum(p[n] for p in parts) for n in ("out", "near")}
+        grads["q"], both = (_sum_rows(np.concatenate([p[rows] for p in parts]), np.concatenate([p[n] for p in parts]), len(m.k)) for n, rows in (("q", "own"), ("kv", "all")))
+        grads["k"], grads["v"] = both[:, :WIDTH], both[:, WIDTH:]
+        self.t += 1
+        rate = self.rate * min(1, self.t / 20) * fall
+        for n, g in grads.items():
+            first_moment, second = self.moment[n]
+            first_moment += 0.1 * (g - first_moment)
+            second += 0.01 * (g * g - second)
+            getattr(m, n)[...] -= (rate * (first_moment / (1 - 0.9**self.t)) / (np.sqrt(second / (1 - 0.99**self.t)) + 1e-8)).astype("f4")
+
+    def _gradients(self, xs: np.ndarray, ys: np.ndarray, share: np.float32) -> dict[str, np.ndarray]:
+        """Of out and near; and of q by the rows own, of k beside v by the rows all. Each target counts share."""
+        m = self.model
         b, nb = len(xs), WINDOW_BLOCKS
         scale, gap = np.float32(WIDTH**-0.5), self.gap
-        k, v, q = m.k[xs].reshape(b, nb, BLOCK, WIDTH), m.v[xs].reshape(b, nb, BLOCK, WIDTH), m.q[xs].reshape(b, nb, BLOCK, WIDTH)[:, 1:] * scale
+        own = xs.reshape(b, nb, BLOCK)[:, 1:].ravel()
+        k, v, q = m.k[xs].reshape(b, nb, BLOCK, WIDTH), m.v[xs].reshape(b, nb, BLOCK, WIDTH), (m.q[own] * scale).reshape(b, nb - 1, BLOCK, WIDTH)
         kw, vw = np.concatenate([k[:, :-1], k[:, 1:]], axis=2), np.concatenate([v[:, :-1], v[:, 1:]], axis=2)
         shut = (xs == m.pad).reshape(b, nb, BLOCK)
         shut = np.concatenate([shut[:, :-1], shut[:, 1:]], axis=2)[:, :, None, :]
-        score = q @ kw.swapaxes(2, 3) + np.where(gap >= 0, m.near[np.maximum(gap, 0)], np.float32(-1e9))
-        score = np.where(shut, np.float32(-1e9), score)
-        a = np.exp(score - np.maximum(score.max(axis=3, keepdims=True), np.float32(-1e8)))
+        a = q @ kw.swapaxes(2, 3)
+        a += np.where(gap >= 0, m.near[np.maximum(gap, 0)], np.float32(-1e9))
+        np.copyto(a, np.float32(-1e9), where=shut)
+        a -= np.maximum(a.max(axis=3, keepdims=True), np.float32(-1e8))
+        np.exp(a, out=a)
         a /= a.sum(axis=3, keepdims=True) + np.float32(1e-30)
         h = (a @ vw).reshape(-1, WIDTH)
         target = ys.reshape(b, nb, BLOCK)[:, 1:].ravel()
-        good = target >= 0
-        logits = h @ m.out + m.base[xs.reshape(b, nb, BLOCK)[:, 1:].ravel()]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), np.maximum(target, 0)] -= 1
-        p *= (good / max(1, good.sum()))[:, None].astype("f4")
+        good = (target >= 0).astype("f4") * share
+        p = h @ m.out
+        p += m.base[own]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (good / p.sum(axis=1))[:, None]
+        p[np.arange(len(target)), np.maximum(target, 0)] -= good
         g_h = (p @ m.out.T).reshape(b, nb - 1, BLOCK, WIDTH)
-        g_a = g_h @ vw.swapaxes(2, 3)
+        g_s = g_h @ vw.swapaxes(2, 3)
         g_vw = a.swapaxes(2, 3) @ g_h
-        g_s = a * (g_a - (g_a * a).sum(axis=3, keepdims=True))
+        g_s -= (g_s * a).sum(axis=3, keepdims=True)
+        g_s *= a
         g_q, g_kw = (g_s @ kw) * scale, g_s.swapaxes(2, 3) @ q
         g_near = np.bincount(np.maximum(gap, 0).ravel(), weights=np.where(gap >= 0, g_s.sum(axis=(0, 1)), 0).ravel(), minlength=2 * BLOCK).astype("f4")
-        grads = {"out": h.T @ p, "near": g_near, "q": _sum_rows(xs.reshape(b, nb, BLOCK)[:, 1:].ravel(), g_q.reshape(-1, WIDTH), len(m.k))}
-        for n, g in (("k", g_kw), ("v", g_vw)):
-            full = np.zeros((b, nb, BLOCK, WIDTH), "f4")
-            full[:, :-1] += g[:, :, :BLOCK]
-            full[:, 1:] += g[:, :, BLOCK:]
-            grads[n] = _sum_rows(xs.ravel(), full.reshape(-1, WIDTH), len(m.k))
-        self.t += 1
-        rate = self.rate * min(1, self.t / 20) * fall
-        for n, g in grads.items():
-            first_moment, second = self.moment[n]
-            first_moment += 0.1 * (g - first_moment)
-            second += 0.01 * (g * g - second)
-            getattr(m, n)[...] -= (rate * (first_moment / (1 - 0.9**self.t)) / (np.sqrt(second / (1 - 0.99**self.t)) + 1e-8)).astype("f4")
+        full = np.zeros((b, nb, BLOCK, 2 * WIDTH), "f4")
+        for g, at in ((g_kw, slice(WIDTH)), (g_vw, slice(WIDTH, None))):
+            full[:, :-1, :, at] += g[:, :, :BLOCK]
+            full[:, 1:, :, at] += g[:, :, BLOCK:]
+        return {"out": h.T @ p, "near": g_near, "own": own, "q": g_q.reshape(-1, WIDTH), "all": xs.ravel(), "kv": full.reshape(-1, 2 * WIDTH)}
 
 
 def _sum_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype("u2" if n <= 1 << 16 else "i4"), kind="stable")  # short ones are sorted by radix
     sorted_ = rows[order]
     starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
     out = np.zeros((n, values.shape[1]), "f4")
@@ -394,8 +430,15 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def _windows_of(ids: np.ndarray, vocab: int, starts: np.ndarray) -> list[bytes]:
     """Windows of a text's ids with its end, WINDOW_BLOCKS blocks and one id each; -1 before its start, -2 past its end."""
     size = WINDOW_BLOCKS * BLOCK + 1
-    padded = np.concatenate([np.full(BLOCK, -1), ids, [vocab - 2], np.full(size, -2)]).astype("<i4")
-    return [padded[s : s + size].tobytes() for s in starts.tolist()]
+    low, high = int(starts[0]), int(starts[-1]) + size
+    own = ids[max(0, low - BLOCK) : max(0, high - BLOCK)]
+    padded = np.full(high - low, -2, "<i4")
+    at = max(0, BLOCK - low)
+    padded[:at] = -1
+    padded[at : at + len(own)] = own
+    if at + len(own) < len(padded):
+        padded[at + len(own)] = vocab - 2
+    return [padded[s - low : s - low + size].tobytes() for s in starts.tolist()]
 
 
 def _starts(n: int) -> np.ndarray:
@@ -405,19 +448,18 @@ def _starts(n: int) -> np.ndarray:
 
 def _window_rows(docs: DataFrame, tokenizer: str, most: int) -> DataFrame:
     """ids: up to most windows of each row's whole text, chosen by a hash of it."""
-    vocab = n_ids(tokenizer)
+    vocab, kind = n_ids(tokenizer), _id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = speller(tokenizer).spell
-        for batch in slices(batches):
+        for batch in batches:
             out = []
-            for text, seed in zip(column(batch, "text").to_pylist(), column(batch, "seed").to_pylist(), strict=True):
-                ids = np.frombuffer(b"".join(spell(words_of(text))), "<u4")
+            for packed, seed in zip(column(batch, "ids").to_pylist(), column(batch, "seed").to_pylist(), strict=True):
+                ids = np.frombuffer(packed, kind)
                 rng = np.random.default_rng(seed & (1 << 63) - 1)
                 out += _windows_of(ids, vocab, np.sort(rng.permutation(_starts(len(ids)))[:most]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    return docs.select("text", F.xxhash64("text").alias("seed")).mapInArrow(run, "ids binary")
+    return docs.select("ids", F.xxhash64("text").alias("seed")).mapInArrow(run, "ids binary")
 
 
 def _one_window(text: str, at: int, spell, vocab: int) -> bytes:
@@ -439,28 +481,20 @@ def _as_windows(packed: list[bytes]) -> np.ndarray:
 
 
 def _over_all_rows(learned: DataFrame, rows: int, tokenizer: str, model: Attention) -> None:
-    """Goes on training over a window of every one of the rows of learned, in every part of them from the model as it is; takes on the average.
+    """Goes on training over all windows of every one of the rows of learned, in every part of them from the model as it is; takes on the average.
 
     Rows are dealt to parts by a hash and come in order there, so the weights don't depend on partitions.
     """
-    spark, vocab = learned.sparkSession, model.vocab
+    spark, vocab, kind = learned.sparkSession, model.vocab, _id_type(tokenizer)
     first = spark.sparkContext.broadcast(model)
-    step_ids = (WINDOW_BLOCKS - 1) * BLOCK
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = speller(tokenizer).spell
-        for batch in slices(batches):
-            texts, seeds = column(batch, "text").to_pylist(), column(batch, "seed").to_pylist()
-            starts = [(seed & (1 << 62) - 1) % max(1, len(text) - 3 * step_ids) for text, seed in zip(texts, seeds, strict=True)]  # anywhere in the text
-            yield pa.RecordBatch.from_arrays([column(batch, "deal"), pa.array([_one_window(t, at, spell, vocab) for t, at in zip(texts, starts, strict=True)], pa.binary())], ["deal", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal, trainer, held, n = None, None, [], 0
 
         def learn() -> None:
             nonlocal n, held
-            trainer.step(_as_windows(held))
-            n, held = n + len(held), []
+            trainer.step(_as_windows(held[:BATCH]))
+            n, held = n + len(held[:BATCH]), held[BATCH:]
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
@@ -470,16 +504,19 @@ def _over_all_rows(learned: DataFrame, rows: int, tokenizer: str, model: Attenti
                 yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([n] * PARTS, pa.int64()), pa.array([x.astype("<f4").tobytes() for x in np.array_split(flat, PARTS)], pa.binary())], ["part", "n", "sums"])
 
         for batch in batches:
-            for own_deal, ids in zip(column(batch, "deal").to_pylist(), column(batch, "ids").to_pylist(), strict=True):
+            for own_deal, packed in zip(column(batch, "deal"), column(batch, "ids"), strict=True):
+                own_deal, ids = own_deal.as_py(), np.frombuffer(packed.as_py(), kind)
                 if own_deal != deal:
                     yield from done()
                     own = copy.copy(first.value)
                     for name in Attention.LEARNED:
                         setattr(own, name, getattr(first.value, name).copy())
                     deal, trainer, held, n = own_deal, Trainer(own, RATE_LATER), [], 0
-                held.append(ids)
-                if len(held) == BATCH:
-                    learn()
+                starts = _starts(len(ids))
+                for at in range(0, len(starts), BATCH):
+                    held += _windows_of(ids, vocab, starts[at : at + BATCH])
+                    while len(held) >= BATCH:
+                        learn()
         yield from done()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,8 +529,8 @@ def _over_all_rows(learned: DataFrame, rows: int, tokenizer: str, model: Attenti
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].astype("<f8").tobytes() for x in sums.values()], pa.binary())], ["part", "n", "sums"])
 
     seed = F.xxhash64("text", "doc_id")
-    dealt = learned.select("text", seed.alias("seed"), F.pmod(F.xxhash64(seed), F.lit(max(PARTS, rows // ROWS_A_PART))).alias("deal")).mapInArrow(windows, "deal long, ids binary")
-    weights = write_table(dealt.repartition("deal").sortWithinPartitions("deal", "ids").mapInArrow(run, "part int, n long, sums binary"), "weights")
+    dealt = learned.select("ids", seed.alias("seed"), F.pmod(F.xxhash64(seed), F.lit(max(PARTS, rows // ROWS_A_PART))).alias("deal"))
+    weights = write_table(dealt.repartition("deal").sortWithinPartitions("deal", "seed", "ids").select("deal", "ids").mapInArrow(run, "part int, n long, sums binary"), "weights")
     found = sorted(weights.repartition("part").sortWithinPartitions("part", "n", "sums").mapInArrow(added, "part int, n long, sums binary").collect(), key=lambda r: r["part"])  # PARTS rows, the weights once
     if found:
         flat, at = np.concatenate([np.frombuffer(r["sums"], "<f8") / r["n"] for r in found]), 0
@@ -521,7 +558,7 @@ def _row_pairs(pairs: DataFrame, model: Attention) -> np.ndarray:
 
 
 def fit(learned: DataFrame, counted: DataFrame, tokenizer: str) -> Attention:
-    """The model of the rows of learned (doc_id, text), whose bigrams are counted (key, c)."""
+    """The model of the rows of learned (doc_id, text, ids), whose bigrams are counted (key, c)."""
     vocab = n_ids(tokenizer)
     ids = counted.groupBy((F.col("key") % vocab).alias("id")).agg(F.sum("c").alias("c")).toArrow()  # a row an id
     counts = np.zeros(vocab)
@@ -541,9 +578,9 @@ def fit(learned: DataFrame, counted: DataFrame, tokenizer: str) -> Attention:
 
 
 @lru_cache(maxsize=1)
-def _head(key: int, held: Broadcast) -> tuple[dict[bytes, int], list[bytes], np.ndarray]:
-    words, counts, packed = held.value
-    return {w: i for i, w in enumerate(words)}, packed, np.log10(np.asarray(counts, "f8") + 1)
+def _head(key: int, held: Broadcast) -> tuple[dict[bytes, int], np.ndarray]:
+    words, counts = held.value
+    return {w: i for i, w in enumerate(words)}, np.log10(np.asarray(counts, "f8") + 1)
 
 
 def lm_scores(docs: DataFrame, tokenizer: str, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -555,7 +592,8 @@ def lm_scores(docs: DataFrame, tokenizer: str, training: Column, id_col: str = "
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
-    learned = texts.where(training)
+    texts = write_table(spelt(texts.withColumn("learn", training), tokenizer), "spelt")
+    learned = texts.where("learn")
     gathered = write_table(gather(learned, tokenizer), "gathered")
     counts = gathered.where(F.col("word").isNotNull()).select("word", "c")
     n, v, ends = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("c")))).first()
@@ -565,28 +603,22 @@ def lm_scores(docs: DataFrame, tokenizer: str, training: Column, id_col: str = "
     model.ready()
     head = commonest(counts, HEAD).toArrow()
     head_words = head["word"].to_pylist()
-    held = spark.sparkContext.broadcast((head_words, head["c"].to_numpy(), Speller(tokenizer).spell(head_words)))  # HEAD words at most
-    weights = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast((head_words, head["c"].to_numpy()))  # HEAD words at most
+    weights, kind = spark.sparkContext.broadcast(model), _id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids_of, logs = _head(id(held), held)
-        spell = speller(tokenizer).spell
+        index, logs = _head(id(held), held)
         end_log = math.log10((ends or 0) + 1)
         seen, part = 0, TaskContext.get().partitionId()
         for batch in slices(batches):
             out = {k: [] for k in ("doc_id", "row", "n_tokens", "known", "logs")}
-            tokens, rare = [], []
+            tokens, rare = [np.frombuffer(x, kind) for x in column(batch, "ids").to_pylist()], []
             split = [words_of(t) for t in column(batch, "text").to_pylist()]
             placed = [np.fromiter(map(index.get, w, [-1] * len(w)), "i8", len(w)) for w in split]
             holes = [np.flatnonzero(p < 0).tolist() for p in placed]
-            strange = iter(spell([w[i] for w, h in zip(split, holes, strict=True) for i in h]))
             for doc, words, places, hole in zip(column(batch, "doc_id").to_pylist(), split, placed, holes, strict=True):
-                pieces = list(map(ids_of.__getitem__, places.tolist()))
-                for i in hole:
-                    pieces[i] = next(strange)
                 rare.append(Counter(map(words.__getitem__, hole)))
                 places = places[places >= 0]
-                tokens.append(np.frombuffer(b"".join(pieces), "<u4"))
                 for k, x in zip(out, (doc, part << 40 | seen, len(words) + 1, len(places) + bool(ends), float(logs[places].sum() + end_log)), strict=True):
                     out[k].append(x)
                 seen += 1
@@ -594,7 +626,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, training: Column, id_col: str = "
             names, times = pa.array([list(x) for x in rare], pa.list_(pa.binary())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*columns, names, times, pa.array(weights.value.scores(tokens))], ["doc_id", "row", "n_tokens", "known", "logs", "rare", "times", "score"])
 
-    scored = write_table(texts.mapInArrow(run, "doc_id long, row long, n_tokens long, known long, logs double, rare array<binary>, times array<long>, score double"), "scored")
+    scored = write_table(texts.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, row long, n_tokens long, known long, logs double, rare array<binary>, times array<long>, score double"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word").select("row", "times", F.log10(F.col("c") + 1.0).alias("log"))
     found = met.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.col("log")).alias("more_logs"))
