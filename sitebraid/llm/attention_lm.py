@@ -326,8 +326,9 @@ class Attention:
             np.maximum(score, 0, out=score)
             weight = score.astype("i4").view("f4")
             # the last column of v is one, so the sum of the weights comes along
-            seen = np.matmul(weight, window(self.fast_v.take(x, 0, mode="clip"), n)).reshape(-1, WIDTH + 1)
-            logits = (seen[:, :WIDTH] / (seen[:, WIDTH:] + np.float32(1e-30))) @ self.fast_out
+            seen = np.matmul(weight, window(self.fast_v.take(x, 0, mode="clip"), n))
+            # a product a block: in one of all blocks, rounding depends on a row's place
+            logits = np.matmul(seen[:, :, :WIDTH] / (seen[:, :, WIDTH:] + np.float32(1e-30)), self.fast_out).reshape(-1, SYMBOLS)
             logits += self.fast_base.take(own, 0, mode="clip")
             mass = logits.astype("i4").view("f4")
             out[at:to] = np.log(mass[rows[: to - at], symbol[at:to]] / (mass @ self.ones)) + self.within(own, pick[at:to])
